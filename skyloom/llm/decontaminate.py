@@ -57,11 +57,14 @@ def _fingerprints(lengths: list[int]) -> Column:
     place = lambda v: v.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
     kept = F.transform(F.filter("kept", lambda v: v.isNotNull()), lambda v: _around(place(v), 0, F.shiftright(v, _PLACE_BITS), WINDOW - GRAM, WINDOW))
     parts = [kept]
-    for size in lengths:
-        runs = F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))
-        made = F.transform(runs, lambda i, size=size: _around(i, size, F.xxhash64(F.slice("hash", i, size), F.lit(size)), 0, size))
-        parts.append(F.when(F.col("n") >= size, made).otherwise(F.slice(made, 1, 0)))
-    return F.concat(*parts)
+    return F.concat(*parts, *(_runs(size) for size in lengths))
+
+
+def _runs(size: int) -> Column:
+    """Fingerprints of all word runs of one length."""
+    places = F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))
+    made = F.transform(places, lambda i: _around(i, size, F.xxhash64(F.slice("hash", i, size), F.lit(size)), 0, size))
+    return F.when(F.col("n") >= size, made).otherwise(F.slice(made, 1, 0))
 
 
 def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
