@@ -95,8 +95,8 @@ def tokenised(docs: DataFrame, tokenizer: str, closing: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, closing: int = 2, length: int = 4096, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids also ids (32-bit).
 
-    The sorted token table is written once to the shared folder, each task noting where in its part every document
-    begins; sums of the parts (a row for each task) give the global place, and so the cuts.
+    The token table is written, range-sorted and written again to the shared folder, each task noting where in its part
+    every document begins; sums of the parts (a row for each task) give the global place, and so the cuts.
     """
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -110,8 +110,9 @@ def pack(docs: DataFrame, tokenizer: str, closing: int = 2, length: int = 4096,
             at += int(n.sum())
             yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(begins), pa.array(n), batch.column("ids")], ["doc_id", "part", "begins", "n", "ids"])
 
-    ordered = tokenised(docs, tokenizer, closing).repartitionByRange(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
-    laid = materialize(ordered.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(lay, f"doc_id {kind}, part int, begins bigint, n bigint, ids binary"), "laid")
+    # written first: the range sort samples its input, which else would be tokenised once more
+    ordered = materialize(tokenised(docs, tokenizer, closing), "tokenised", "zstd").repartitionByRange(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
+    laid = materialize(ordered.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(lay, f"doc_id {kind}, part int, begins bigint, n bigint, ids binary"), "laid", "zstd")
     totals = sorted((r["part"], r["n"]) for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect())
     base, so_far = {}, 0
     for part, n in totals:
