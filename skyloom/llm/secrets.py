@@ -22,7 +22,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|internal|cloud)\.?[a-z]*\b")
+#: A host name is tried only from its run's start, so that long dotted or hyphened runs stay linear.
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|internal|cloud)\.?[a-z]*\b")
 BREAK = re.compile(r"\n[\x20\t]*\n")
 #: Kinds in the order in which equal starts are listed. The last two are only reported when linked.
 KINDS = ("assign", "access", "hex", "secret_part", "endpoint")

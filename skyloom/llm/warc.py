@@ -18,6 +18,7 @@ import hashlib
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -194,7 +195,7 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
     def read(table: pa.Table) -> pa.Table:
         wanted = set(table.column("key").to_pylist())
         _, file, begin, size = directory.value[table.column("block")[0].as_py()]
-        lines = zlib.decompress(read_range(file, [(begin, size)])[0]).decode().split("\n")
+        lines = zlib.decompress(next(read_range(file, [(begin, size)]))).decode().split("\n")
         places: dict[str, list] = {}
         for line in lines:
             key, _, name, begin, size = line.rsplit(" ", 4)
@@ -207,12 +208,10 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
     return sought.groupBy("block").applyInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
-def read_range(uri: str, ranges: list[tuple[int, int]]) -> list[bytes]:
-    """The bytes at each (begin, size) of a file."""
+def read_range(uri: str, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes at each (begin, size) of a file, one at a time: a block's records need not fit in memory together."""
     fs, path = open_fs(uri)
-    out = []
     with fs.open_input_file(path) as f:
         for begin, size in ranges:
             f.seek(begin)
-            out.append(f.read(size))
-    return out
+            yield f.read(size)
