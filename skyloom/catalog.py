@@ -136,19 +136,21 @@ def tagged_particles(spark, sf_dir):
 
 R_MIN, R_MAX, BINS, RHO = 0.02, 0.2, 6, 50.0
 SOD_SQL = f"""{FOF_SQL}, c AS (SELECT halo_tag, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(vx) AS mx, avg(vy) AS my, avg(vz) AS mz FROM own GROUP BY halo_tag),
-d AS (SELECT c.halo_tag, p.mass, sqrt((p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)+(p.z-cz)*(p.z-cz)) AS r, (p.x-cx)*(p.vx-mx)+(p.y-cy)*(p.vy-my)+(p.z-cz)*(p.vz-mz) AS along
+d AS (SELECT c.halo_tag, p.id, p.mass, sqrt((p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)+(p.z-cz)*(p.z-cz)) AS r, (p.x-cx)*(p.vx-mx)+(p.y-cy)*(p.vy-my)+(p.z-cz)*(p.vz-mz) AS along
   FROM c JOIN particles p ON (p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)+(p.z-cz)*(p.z-cz) < {R_MAX}*{R_MAX}),
-b AS (SELECT halo_tag, CAST(CASE WHEN r <= {R_MIN} THEN 0 ELSE least(floor(log10(r/{R_MIN})/(log10({R_MAX}/{R_MIN})/{BINS}))+1, {BINS}) END AS INTEGER) AS bin, mass, r, CASE WHEN r > 0 THEN along/r ELSE 0 END AS vr FROM d),
+b AS (SELECT halo_tag, id, CAST(CASE WHEN r <= {R_MIN} THEN 0 ELSE least(floor(log10(r/{R_MIN})/(log10({R_MAX}/{R_MIN})/{BINS}))+1, {BINS}) END AS INTEGER) AS bin, mass, r, CASE WHEN r > 0 THEN along/r ELSE 0 END AS vr FROM d),
 g AS (SELECT halo_tag, bin, count(*) AS n, sum(mass) AS m, avg(r) AS radius, avg(vr) AS rad_vel FROM b GROUP BY 1, 2),
 e AS (SELECT halo_tag, CAST(bin AS INTEGER) AS bin FROM c, range(0, {BINS + 1}) t(bin)),
 f AS (SELECT halo_tag, bin, coalesce(n,0) AS n, coalesce(m,0) AS m, coalesce(radius,0) AS radius, coalesce(rad_vel,0) AS rad_vel, sum(coalesce(m,0)) OVER (PARTITION BY halo_tag ORDER BY bin) AS cum_mass FROM e LEFT JOIN g USING (halo_tag, bin)),
 prof AS (SELECT *, CASE WHEN radius > 0 THEN cum_mass/(4*pi()/3*radius*radius*radius)/{RHO} ELSE 0 END AS rho_ratio FROM f)"""
 
 
+def _sod_centers(spark, sf_dir):
+    return _own(spark, sf_dir).groupBy("halo_tag").agg(*(F.avg(a).alias(f"center_{a}") for a in "xyz"), *(F.avg(f"v{a}").alias(f"mean_v{a}") for a in "xyz"))
+
+
 def _profile(spark, sf_dir):
-    own = _own(spark, sf_dir)
-    centers = own.groupBy("halo_tag").agg(*(F.avg(a).alias(f"center_{a}") for a in "xyz"), *(F.avg(f"v{a}").alias(f"mean_v{a}") for a in "xyz"))
-    return halos.overdensity_profile(centers, particles(spark, sf_dir), R_MIN, R_MAX, BINS, RHO)
+    return halos.overdensity_profile(_sod_centers(spark, sf_dir), particles(spark, sf_dir), R_MIN, R_MAX, BINS, RHO)
 
 
 @query(f"WITH RECURSIVE {SOD_SQL} SELECT halo_tag, bin, n, round(m,6) AS m, round(radius,6) AS radius, round(rad_vel,6) AS rad_vel, round(cum_mass,6) AS cum_mass, round(rho_ratio,4) AS rho_ratio FROM prof")
@@ -162,6 +164,34 @@ def sod_radius(spark, sf_dir):
     return rounded(halos.overdensity_radius(_profile(spark, sf_dir)))
 
 
+SOD_MEMBERS_SQL = f"""{SOD_SQL}, w AS (SELECT halo_tag, bin, cum_mass, rho_ratio, lead(rho_ratio) OVER (PARTITION BY halo_tag ORDER BY bin) AS nr FROM prof),
+crit AS (SELECT halo_tag, bin+1 AS cb, cum_mass AS lower_mass FROM w WHERE bin >= 1 AND rho_ratio > 200 AND nr < 200 QUALIFY row_number() OVER (PARTITION BY halo_tag ORDER BY bin) = 1),
+rim AS (SELECT b.halo_tag, b.id, r, lower_mass+sum(mass) OVER (PARTITION BY b.halo_tag ORDER BY r, b.id ROWS UNBOUNDED PRECEDING) AS to_here FROM b JOIN crit ON b.halo_tag = crit.halo_tag AND b.bin = cb),
+walk AS (SELECT halo_tag, id, r, bool_or(to_here/(4*pi()/3*r*r*r)/{RHO} < 200) OVER (PARTITION BY halo_tag ORDER BY r, id ROWS UNBOUNDED PRECEDING) AS past FROM rim),
+sod AS (SELECT b.halo_tag, b.id, r FROM b JOIN crit USING (halo_tag) WHERE bin < cb UNION ALL SELECT halo_tag, id, r FROM walk WHERE NOT past),
+edge AS (SELECT halo_tag, min(r) AS sod_radius FROM walk WHERE past GROUP BY halo_tag)"""
+
+
+@query(f"WITH RECURSIVE {SOD_MEMBERS_SQL} SELECT halo_tag, id, round(r,6) AS r, round(sod_radius,6) AS sod_radius FROM sod LEFT JOIN edge USING (halo_tag)")
+def sod_members(spark, sf_dir):
+    own = halos.overdensity_members(_sod_centers(spark, sf_dir), particles(spark, sf_dir), R_MIN, R_MAX, BINS, RHO)
+    return rounded(own.select("halo_tag", "id", "r", "sod_radius"))
+
+
+@query(f"""WITH RECURSIVE {SOD_MEMBERS_SQL} SELECT halo_tag, count(*) AS sod_count, round(sum(mass),6) AS sod_mass, round(max(sod_radius),6) AS sod_radius,
+ round(avg(x),6) AS mean_x, round(avg(y),6) AS mean_y, round(avg(z),6) AS mean_z, round(sum(mass*x)/sum(mass),6) AS com_x, round(sum(mass*y)/sum(mass),6) AS com_y, round(sum(mass*z)/sum(mass),6) AS com_z,
+ round(avg(vx),6) AS mean_vx, round(avg(vy),6) AS mean_vy, round(avg(vz),6) AS mean_vz,
+ round(sqrt(greatest(0,(avg(vx*vx+vy*vy+vz*vz)-avg(vx)*avg(vx)-avg(vy)*avg(vy)-avg(vz)*avg(vz))/3)),6) AS vel_disp
+FROM sod JOIN particles USING (id) LEFT JOIN edge USING (halo_tag) GROUP BY halo_tag""")
+def sod_halos(spark, sf_dir):
+    own = halos.overdensity_members(_sod_centers(spark, sf_dir), particles(spark, sf_dir), R_MIN, R_MAX, BINS, RHO)
+    return rounded(own.groupBy("halo_tag").agg(
+        F.count("*").alias("sod_count"), F.sum("mass").alias("sod_mass"), F.max("sod_radius").alias("sod_radius"),
+        *(F.avg(a).alias(f"mean_{a}") for a in "xyz"), *((F.sum(F.col("mass") * F.col(a)) / F.sum("mass")).alias(f"com_{a}") for a in "xyz"),
+        *(F.avg(f"v{a}").alias(f"mean_v{a}") for a in "xyz"), halos.dispersion().alias("vel_disp"),
+    ))
+
+
 @query(f"""WITH {PARTICLES_SQL}, c AS (SELECT id AS center_id, x AS cx, y AS cy, z AS cz FROM particles WHERE mass = 1.0),
 d AS (SELECT center_id, greatest(CAST(ceil(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))*4/0.1) AS INTEGER)-1,0) AS s FROM c JOIN particles ON (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) <= 0.1*0.1),
 g AS (SELECT center_id, s, count(*) AS n FROM d GROUP BY 1, 2), e AS (SELECT center_id, CAST(s AS INTEGER) AS sphere FROM c, range(0, 4) t(s))

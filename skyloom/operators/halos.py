@@ -87,14 +87,19 @@ def chosen_center(own: DataFrame, method: str, radius: float) -> DataFrame:
     return best.join(own.select("halo_tag", "id", *AXES), ["halo_tag", "id"]).select("halo_tag", *(F.col(a).alias(f"center_{a}") for a in AXES))
 
 
-def overdensity_profile(centers: DataFrame, points: DataFrame, r_min: float, r_max: float, bins: int, rho_c: float) -> DataFrame:
-    """Logarithmic bins about each center: count, mass, mean radius, mean radial velocity, cumulative mass and density
-    ratio. centers: halo_tag, center_*, mean_v*. Bin 0 holds what is within r_min; empty bins are there, with ratio 0."""
+def _binned(centers: DataFrame, points: DataFrame, r_min: float, r_max: float, bins: int) -> DataFrame:
+    """The points within r_max of each center with their distance r, logarithmic bin and radial velocity vr."""
     delta = F.lit(__import__("math").log10(r_max / r_min) / bins)
     near = within(centers, points, r_max).withColumn("r", F.sqrt("d2"))
     number = F.when(F.col("r") <= r_min, 0).otherwise(F.least(F.floor(F.log10(F.col("r") / r_min) / delta) + 1, F.lit(bins))).cast("int")
     along = sum(((F.col(a) - F.col(f"center_{a}")) * (F.col(f"v{a}") - F.col(f"mean_v{a}")) for a in AXES[1:]), (F.col("x") - F.col("center_x")) * (F.col("vx") - F.col("mean_vx")))
-    filled = near.withColumn("bin", number).withColumn("vr", F.when(F.col("r") > 0, along / F.col("r")).otherwise(0.0)).groupBy("halo_tag", "bin").agg(
+    return near.withColumn("bin", number).withColumn("vr", F.when(F.col("r") > 0, along / F.col("r")).otherwise(0.0))
+
+
+def overdensity_profile(centers: DataFrame, points: DataFrame, r_min: float, r_max: float, bins: int, rho_c: float) -> DataFrame:
+    """Logarithmic bins about each center: count, mass, mean radius, mean radial velocity, cumulative mass and density
+    ratio. centers: halo_tag, center_*, mean_v*. Bin 0 holds what is within r_min; empty bins are there, with ratio 0."""
+    filled = _binned(centers, points, r_min, r_max, bins).groupBy("halo_tag", "bin").agg(
         F.count("*").alias("n"), F.sum("mass").alias("m"), F.avg("r").alias("radius"), F.avg("vr").alias("rad_vel")
     )
     every = centers.select("halo_tag", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("bin"))
@@ -115,6 +120,28 @@ def overdensity_radius(profile: DataFrame, ratio: float = 200.0) -> DataFrame:
     )
 
 
+def overdensity_members(centers: DataFrame, points: DataFrame, r_min: float, r_max: float, bins: int, rho_c: float, ratio: float = 200.0) -> DataFrame:
+    """The points inside each center's overdensity radius: halo_tag, r, sod_radius and the columns of points.
+
+    All bins below the critical one belong to it. In the critical bin points are taken by distance, then id, until the
+    density up to and with the next one is below the ratio; that one's distance is the radius and it stays outside.
+    Centers without a critical bin have no rows; an empty critical bin gives a null radius. Only the critical bin is
+    walked in order; what lies below comes in as its sum.
+    """
+    profile = overdensity_profile(centers, points, r_min, r_max, bins, rho_c)
+    found = overdensity_radius(profile, ratio).select("halo_tag", "critical_bin")
+    lower = profile.select("halo_tag", (F.col("bin") + 1).alias("critical_bin"), F.col("cum_mass").alias("lower_mass"))
+    near = _binned(centers, points, r_min, r_max, bins).join(found.join(lower, ["halo_tag", "critical_bin"]), "halo_tag")
+    up = Window.partitionBy("halo_tag").orderBy("r", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ball = F.lit(4 * __import__("math").pi / 3) * F.col("r") * F.col("r") * F.col("r")
+    rim = near.filter("bin = critical_bin").withColumn("to_here", F.col("lower_mass") + F.sum("mass").over(up))
+    rim = rim.withColumn("past", F.max(F.col("to_here") / ball / rho_c < ratio).over(up))
+    radius = rim.filter("past").groupBy("halo_tag").agg(F.min("r").alias("sod_radius"))
+    keep = ["halo_tag", "r", *points.columns]
+    inside = near.filter("bin < critical_bin").select(*keep).unionByName(rim.filter("NOT past").select(*keep))
+    return inside.join(radius, "halo_tag", "left")
+
+
 def density_profile(centers: DataFrame, points: DataFrame, radius: float, spheres: int) -> DataFrame:
     """Particles within (k + 1) radius / spheres of each center, for each sphere k: count and count per volume."""
     near = within(centers, points, radius, inclusive=True)

@@ -13,7 +13,7 @@ CHEAP = [
     "fof_pairs", "fof_membership", "fof_halo_catalog", "halo_mcp_center", "halo_mbp_center", "sod_profile", "density_profile",
     "overlap_matrix", "merger_events", "merger_deaths", "ghost_exchange", "grid_exchange", "redshift_schedule", "triggers_and_bits",
     "euler_mesh", "caustic_faces", "face_adjacency", "fringe_tets", "probe_grid", "boundary_faces", "region_merge", "shapefinders",
-    "volume_histogram", "knn_density", "record_roundtrip",
+    "volume_histogram", "knn_density", "record_roundtrip", "sod_radius", "sod_members", "sod_halos",
 ]
 
 
