@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import numpy as np
 
-_COUNT = np.array([bin(b).count("1") for b in range(256)], np.int64)
-#: For each byte the place of its k-th set bit.
-_PLACE = np.zeros((256, 8), np.int64)
+#: For each byte and k, flat, the place of its k-th set bit.
+_PLACE = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
         _PLACE[_b, _k] = _i
+_PLACE = _PLACE.ravel()
+_U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+_PAIRS, _FOURS, _EIGHTS = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit (from 0) of each 64-bit word; every word has more than k set bits.
+
+    All eight byte counts of a word are added up in one multiplication and compared with k in one subtraction."""
+    k = k.astype(np.uint64)
+    sums = words - (words >> _U(1) & _PAIRS)
+    sums = (sums & _FOURS) + (sums >> _U(2) & _FOURS)
+    sums = (sums + (sums >> _U(4)) & _EIGHTS) * _ONES
+    shift = np.bitwise_count(((k * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << _U(3)
+    inner = k - (sums << _U(8) >> shift & _U(255))
+    octet = words >> shift & _U(255)
+    return (shift + _PLACE[(octet << _U(3) | inner).astype(np.int64)]).astype(np.int64)
 
 
 def encode(keys: np.ndarray, *payload: np.ndarray) -> bytes:
@@ -65,12 +82,7 @@ class Sequence:
         k = k[ok]
         word = np.searchsorted(self.zeros, k, "right") - 1
         left = k - self.zeros[word]
-        octets = (~self.words[word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(_COUNT[octets], axis=1)
-        which = (counts <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        inner = left - np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
-        out[ok] = np.minimum(64 * word + 8 * which + _PLACE[octets[rows, which], inner] - k, self.n)
+        out[ok] = np.minimum(64 * word + select(~self.words[word], left) - k, self.n)
         return out
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
@@ -87,12 +99,7 @@ class Sequence:
         ones = 64 * np.arange(len(self.words)) - self.zeros
         word = np.searchsorted(ones, i, "right") - 1
         left = i - ones[word]
-        octets = np.ascontiguousarray(self.words[word]).view(np.uint8).reshape(-1, 8)
-        counts = np.cumsum(_COUNT[octets], axis=1)
-        which = (counts <= left[:, None]).sum(1)
-        rows = np.arange(len(i))
-        inner = left - np.where(which > 0, counts[rows, np.maximum(which - 1, 0)], 0)
-        high = 64 * word + 8 * which + _PLACE[octets[rows, which], inner] - i
+        high = 64 * word + select(self.words[word], left) - i
         return (high << self.low_bits) + self._low_at(i).astype(np.int64) + self.base
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

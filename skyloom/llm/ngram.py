@@ -134,8 +134,9 @@ class Reader:
         """log10((c + 0.5) / (N + 0.5 (V + 1)))."""
         return np.log10((counts + 0.5) / (self.model.tokens + 0.5 * (self.model.types + 1)))
 
-    def nodes(self, ids: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each place the node of the n-gram that ends there, for n from 1 to depth; -1 if the trie has none."""
+    def nodes(self, ids: np.ndarray, depth: int, codes: list | None = None) -> list[np.ndarray]:
+        """For each place the node of the n-gram that ends there, for n from 1 to depth; -1 if the trie has none. To
+        codes the quantised probabilities are added, for n from 2, where there is a node."""
         out = [ids]
         for n in range(2, depth + 1):
             key = np.full(len(ids), -1, np.int64)
@@ -147,7 +148,7 @@ class Reader:
                 child = np.where(suffix >= 0, suffix - self.first_child(n - 3, context), -1)
             ok = (parent >= 0) & (child >= 0)
             key[1:] = np.where(ok, parent * self.model.fans[n - 2] + child, -1)
-            out.append(key if n > len(self.grams) + 1 else self._find(n - 2, key))
+            out.append(key if n > len(self.grams) + 1 else self._find(n - 2, key, codes))
         return out
 
     def first_child(self, level: int, parents: np.ndarray) -> np.ndarray:
@@ -155,10 +156,15 @@ class Reader:
         u, back = np.unique(np.maximum(parents, 0), return_inverse=True)
         return self.grams[level].successor(u * self.model.fans[level])[0][back]
 
-    def _find(self, level: int, key: np.ndarray) -> np.ndarray:
+    def _find(self, level: int, key: np.ndarray, codes: list | None) -> np.ndarray:
         u, back = np.unique(key, return_inverse=True)
         at, found = self.grams[level].successor(u)
-        return np.where(found & (u >= 0), at, -1)[back]
+        found &= u >= 0
+        if codes is not None:
+            code = np.zeros(len(u), np.uint8)
+            code[found] = self.grams[level].payload(0, at[found])
+            codes.append(code[back])
+        return np.where(found, at, -1)[back]
 
     def log_probabilities(self, ids: np.ndarray, base: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Log10 probability of each token, from the longest n-gram known and the back-off weights of longer contexts.
@@ -166,7 +172,8 @@ class Reader:
         start: places where a text begins, whose context is the end of the text laid before it.
         """
         order = len(self.grams) + 1
-        nodes = self.nodes(ids, order)
+        codes: list[np.ndarray] = []
+        nodes = self.nodes(ids, order, codes)
         if order > 2:  # an n-gram reaches back to the end before its text and no further
             nodes[2][start] = -1
         out = base.copy()
@@ -175,10 +182,7 @@ class Reader:
             context = np.concatenate(([-1], nodes[n - 2][:-1]))
             if n > 2:
                 context[start] = -1
-            at = np.flatnonzero(found)
-            if len(at):
-                u, back = np.unique(nodes[n - 1][at], return_inverse=True)
-                out[at] = (-12 + _P_STEP * self.grams[n - 2].payload(0, u))[back]
+            out[found] = -12 + _P_STEP * codes[n - 2][found]
             at = np.flatnonzero(~found & (context >= 0))
             if len(at):
                 u, back = np.unique(context[at], return_inverse=True)
