@@ -53,7 +53,8 @@ def _tally(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(k, c): how often each key that keys_of(text column) gives occurs; added up in each task before the shuffle."""
+    """(k, c): how often each key that keys_of(text column) gives occurs; added up in each task before the shuffle, so
+    the engine aggregates only behind it: a task brings a frequent key once."""
 
     def run(batches):
         held, size = [], 0
@@ -77,7 +78,7 @@ def counted(docs: DataFrame, keys_of) -> DataFrame:
         if held:
             yield from out(held)
 
-    return docs.select("text").mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "k bigint, c bigint").repartition("k").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 @dataclass
