@@ -42,27 +42,26 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        # pieces in order of their hashes: where the ids of each begin in ids, and how many they are
+        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 14, np.uint16), 0
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         tokenize, signs = self.tokenizer.model.tokenize, self.signs
         flat, count = [], []
         for piece in pieces:
             tokens = tokenize(piece.decode("latin-1") if piece.isalnum() else piece.decode("latin-1").translate(signs))
             flat += [t.id for t in tokens]
             count.append(len(tokens))
-        at, end = len(self.slot), len(self.slot) + len(pieces)
-        while end > len(self.begin):
-            self.begin, self.count = (np.concatenate((a, np.zeros_like(a))) for a in (self.begin, self.count))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        n = np.array(count, np.int64)
-        self.begin[at:end], self.count[at:end] = self.used + np.cumsum(n) - n, n
+        n = np.array(count, np.int32)
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(n, dtype=np.int32) - n)
+        self.count = np.insert(self.count, at, n)
+        self.hashes = np.insert(self.hashes, at, hashes)
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(at, end)))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of texts, one after the other, and where each text's begin (and the end). Null is empty."""
@@ -78,7 +77,7 @@ class Encoder:
         data = data + np.where(after & (data < 0x9F), np.uint8(0x20), np.uint8(0))
         piece_hash, piece_row = self._pieces(data, offsets, odd)
         per_row = np.bincount(piece_row, self.count[piece_hash], rows).astype(np.int64) if len(piece_row) else np.zeros(rows, np.int64)
-        n, begin = self.count[piece_hash], self.begin[piece_hash]
+        n, begin = self.count[piece_hash].astype(np.int64), self.begin[piece_hash]
         at = np.cumsum(n) - n
         flat = self.ids[np.arange(int(n.sum())) + np.repeat(begin - at, n)]
         which = np.flatnonzero(odd)
@@ -92,7 +91,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
     def _pieces(self, data, offsets, odd) -> tuple[np.ndarray, np.ndarray]:
-        """The cache slot and row of every piece of the rows that are not odd."""
+        """The place in the cache and the row of every piece of the rows that are not odd."""
         none = np.zeros(0, np.int64)
         if not len(data):
             return none, none
@@ -108,15 +107,18 @@ class Encoder:
         if not len(starts):
             return none, none
         u, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = u.tolist()
-        if len(self.slot) + len(keys) > CACHE_PIECES:
+        if len(self.hashes) + len(u) > CACHE_PIECES:
             self._clear()
-        new_at = [i for i, h in enumerate(keys) if h not in self.slot]
-        raw = data.tobytes()
-        a, b = starts[one], ends[one]
-        self._learn([keys[i] for i in new_at], [raw[a[i] : b[i]] for i in new_at])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
-        return slots[back], row
+        at = np.searchsorted(self.hashes, u)
+        fresh = np.ones(len(u), bool)
+        held = at < len(self.hashes)
+        fresh[held] = self.hashes[at[held]] != u[held]
+        if fresh.any():
+            raw = data.tobytes()
+            first = one[fresh]
+            self._learn(u[fresh], [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            at = np.searchsorted(self.hashes, u)
+        return at[back], row
 
     @staticmethod
     def _contract(data, kind, starts, ends, row) -> None:
