@@ -241,13 +241,3 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, seed: in
     least = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_per_group(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest: one document of each near-duplicate group stays.
-
-    Rows with a null doc_id stay. Columns are those of docs.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), distance)
-    drop = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
