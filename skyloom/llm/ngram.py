@@ -227,7 +227,7 @@ def _write_level(rows: DataFrame, name: str, make) -> list[tuple[int, int, str]]
     return sorted((r["k"], r["n"], r["path"]) for r in got)
 
 
-def train(docs: DataFrame, order: int = 3, least: int = 2) -> NgramModel:
+def train(docs: DataFrame, order: int = 3, least: int = 1) -> NgramModel:
     """Count over all rows of docs(text) and write the levels.
 
     `least`: n-grams of two words or more enter the trie if seen so often (a parameter of the model, exact: an n-gram is
