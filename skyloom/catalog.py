@@ -507,7 +507,13 @@ def knn_density(spark, sf_dir):
 
 @query()
 def subhalos(spark, sf_dir):
-    return subhalo.subhalos(_own(spark, sf_dir))
+    return subhalo.subhalos(_own(spark, sf_dir), gravity=subhalo.GRAVITY)
+
+
+@query()
+def subhalo_properties(spark, sf_dir):
+    own = _own(spark, sf_dir)
+    return subhalo.properties(subhalo.subhalos(own, gravity=subhalo.GRAVITY), own)
 
 
 @query(f"WITH {PARTICLES_SQL} SELECT id, round(x,5) AS x, round(vz,5) AS vz, mass FROM particles")

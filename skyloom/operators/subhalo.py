@@ -5,6 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The gravitational constant of the registered queries: one, as tables have no physical units (with Mpc, km/s and solar
+#: masses the survey's source has 43.015e-10).
+GRAVITY = 1.0
 
 
 def kernel_density(xyz: np.ndarray, k: int, mass: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,3 +103,15 @@ def subhalos(own: DataFrame, k: int = 8, grouping: int = 4, least: int = 3, mass
         return pd.DataFrame({"halo_tag": pdf["halo_tag"], "id": pdf["id"], "subhalo": out})
 
     return own.select("halo_tag", "id", "x", "y", "z", "vx", "vy", "vz").groupBy("halo_tag").applyInPandas(run, "halo_tag long, id long, subhalo long")
+
+
+def properties(found: DataFrame, own: DataFrame, mass: float = 1.0) -> DataFrame:
+    """Per subhalo of `found`, by halo_tag and number: count, mass, mean position and velocity, velocity dispersion. All
+    particles have the same mass, as in the unbinding, so the centre of mass is the mean position."""
+    axes = [f"{v}{a}" for v in ("", "v") for a in "xyz"]
+    means = [F.avg(a).alias(f"subhalo_mean_{a}") for a in axes]
+    square = F.avg(F.expr("vx*vx + vy*vy + vz*vz")) - sum(F.avg(v) * F.avg(v) for v in axes[3:])
+    spread = F.sqrt(F.greatest(F.lit(0.0), square / 3)).alias("subhalo_vel_disp")
+    rows = found.filter("subhalo >= 0").join(own.select("id", "halo_tag", *axes), ["halo_tag", "id"])
+    n = F.count("*")
+    return rows.groupBy("halo_tag", "subhalo").agg(n.alias("subhalo_count"), (n * F.lit(mass)).alias("subhalo_mass"), *means, spread)
