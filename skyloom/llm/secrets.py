@@ -2,7 +2,7 @@
 
 Base kinds are found by pattern and always stay. Weak candidates (long mixed tokens, endpoints) are no finding by
 themselves: spans are interval-joined within scopes, and a weak candidate is reported only where a complementary part
-stands close by in the same scope. Null text is empty. Rows are independent: repeated rows give repeated results,
+stands in the same scope. Null text is empty. Rows are independent: repeated rows give repeated results,
 extra columns are left alone, an empty table gives an empty result. Offsets count code points, ends are exclusive.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,6 @@ ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]+(?:\.[a-z0
 BREAK = re.compile(r"\n[\x20\t]*\n")
 #: Kinds in the order in which equal starts are listed. The last two are only reported when linked.
 KINDS = ("assign", "access", "hex", "secret_part", "endpoint")
-REACH = 400
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,36 +47,39 @@ def weak_spans(text: str) -> list[tuple[int, int, str]]:
     return out + ([(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "http" in text or "." in text else [])
 
 
-def link(text: str, base: list, weak: list, reach: int = REACH) -> list[tuple[int, int, str]]:
-    """The weak spans that complement another part within `reach` characters in the same scope (paragraph).
+def link(text: str, base: list, weak: list) -> list[tuple[int, int, str]]:
+    """The weak spans that complement another part in the same scope (paragraph), however far apart.
 
-    A secret part needs an access identifier or an endpoint together with a base finding; an endpoint needs both an
-    identifier (access or assign) and a secret (hex, assign or secret part). Interval join by sorted starts: each weak
-    span looks left and right only to the nearest spans of each kind.
+    A secret part needs an access identifier, or an endpoint together with a base finding; an endpoint needs both an
+    identifier (access or assign) and another span that is a secret (hex, assign or secret part). Parts that overlap the
+    weak span do not count. Interval join by sorted starts and ends: the spans of a kind do not overlap one another, so
+    those of a scope less those that overlap are counted by bisection.
     """
     if not base or not weak:
         return []
     cuts = [m.start() for m in BREAK.finditer(text)]
-    by_kind: dict[str, list[tuple[int, int]]] = {}
+    starts: dict[str, list[int]] = {k: [] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}
     for s, e, kind in sorted(base + weak):
-        by_kind.setdefault(kind, []).append((s, e))
+        starts[kind].append(s)
+        ends[kind].append(e)
 
-    def near(kind: str, s: int, e: int, own: tuple[int, int]) -> bool:
-        rows = by_kind.get(kind, [])
-        at = bisect_left(rows, (s, e))
-        for s2, e2 in rows[max(0, at - 2) : at + 2]:
-            apart = max(s2 - e, s - e2)
-            if (s2, e2) != own and 0 <= apart <= reach and bisect_left(cuts, s) == bisect_left(cuts, s2):
-                return True
-        return False
+    def apart(kind: str, s: int, e: int) -> int:
+        scope = bisect_left(cuts, s)
+        lo = bisect_right(starts[kind], cuts[scope - 1]) if scope else 0
+        hi = bisect_right(starts[kind], cuts[scope]) if scope < len(cuts) else len(starts[kind])
+        over, past = max(lo, bisect_right(ends[kind], s)), min(hi, bisect_left(starts[kind], e))
+        return hi - lo - max(0, past - over)
 
     out = []
     for s, e, kind in weak:
-        has = {k: near(k, s, e, (s, e)) for k in KINDS}
-        if kind == "secret_part" and (has["access"] or (has["endpoint"] and has["assign"])):
-            out.append((s, e, kind))
-        elif kind == "endpoint" and (has["access"] and (has["hex"] or has["assign"] or has["secret_part"])):
+        has = {k: apart(k, s, e) for k in KINDS}
+        if kind == "secret_part" and (has["access"] or (has["endpoint"] and (has["assign"] or has["hex"]))):
             out.append((s, e, kind))
+        elif kind == "endpoint":
+            secret = has["hex"] or has["secret_part"]
+            if (has["access"] and (secret or has["assign"])) or (has["assign"] and (secret or has["assign"] > 1)):
+                out.append((s, e, kind))
     return out
 
 
