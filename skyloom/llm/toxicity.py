@@ -164,7 +164,7 @@ def _calibrate(spark, model: ToxicityModel, rest: DataFrame) -> ToxicityModel:
             for i, y in enumerate(batch.column("y").to_pylist()):
                 own = s[first[i] : first[i + 1]]
                 at, n = np.unique(np.round(own / _BIN).astype(np.int64), return_counts=True)
-                found = sorted((x for x, _, _ in maximal_segments(own)), reverse=True)[:64]
+                found = sorted((x for x, _, _ in maximal_segments(own)), reverse=True)
                 out.append({"y": y, "n": len(own), "top": found, "bins": at.tolist() if y == 0 else [], "counts": n.tolist() if y == 0 else []})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("n", pa.int64()), ("top", pa.list_(pa.float64())), ("bins", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
 
