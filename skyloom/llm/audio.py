@@ -154,7 +154,8 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_bit_error
     representative the matches of its class with query classes: query_id, offset, votes, bit_error.
 
     is_query: a condition on id; a class is a query if one of its rows is. Runs of equal integers vote once, by their
-    start, so a held note does not multiply.
+    start, so a held note does not multiply. Every offset with min_votes is verified; of those within the bit error the one
+    with most votes stays.
     """
     prints = prints.withColumn("h1", F.xxhash64("fp")).withColumn("h2", F.xxhash64("fp", F.lit(1)))
     classes = materialize(
@@ -168,15 +169,16 @@ def align(prints: DataFrame, is_query, min_votes: int = MIN_VOTES, max_bit_error
         asked.join(posted.select("class_id", "value", "at"), "value").filter("query_id != class_id")
         .groupBy("query_id", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
         .filter(F.col("votes") >= min_votes)
-        .groupBy("query_id", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("_near"), "offset")).alias("best"))
     )
     fp = known.select("class_id", "fp")
     q = fp.select(F.col("class_id").alias("query_id"), F.col("fp").alias("q_fp"))
-    pairs = votes.select("query_id", "class_id", "best.offset", "best.votes").join(fp, "class_id").join(q, "query_id")
+    pairs = votes.join(fp, "class_id").join(q, "query_id")
     start, q_start = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
     length = F.least(F.size("fp") - start, F.size("q_fp") - q_start)
     wrong = F.aggregate(F.zip_with(F.slice("fp", start + 1, length), F.slice("q_fp", q_start + 1, length), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     found = pairs.withColumn("bit_error", F.round(wrong / (32 * length), 6)).filter(F.col("bit_error") <= max_bit_error)
+    best = F.max_by(F.struct("offset", "votes", "bit_error"), F.struct("votes", -F.col("bit_error"), -F.abs("offset"), "offset"))
+    found = found.groupBy("query_id", "class_id").agg(best.alias("best")).select("query_id", "class_id", "best.*")
     matches = found.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "offset", "votes", "bit_error"))).alias("matches"))
     named = classes.join(matches, "class_id", "left").select("h1", "h2", "class_id", "matches")
     out = prints.join(named, ["h1", "h2"])
