@@ -10,12 +10,15 @@ DEFAULT_SHARED = "file:///tmp/checkpoints/skyloom"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests), a default is set once."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's spark.checkpoint.dir, else the checkpoint folder that the session was given; where both are unset a
+    default on this machine, which only a local master may use."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(DEFAULT_SHARED)
     return DEFAULT_SHARED
 
 

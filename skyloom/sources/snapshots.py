@@ -6,15 +6,15 @@ and then all positions, velocities and tags. Files are split by byte ranges of w
 
 from __future__ import annotations
 
-import glob
-import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skyloom.functions.files import open_fs, write_bytes
+from skyloom.functions.files import list_files, open_fs, write_bytes
 
 RECORD = [("x", "f4"), ("vx", "f4"), ("y", "f4"), ("vy", "f4"), ("z", "f4"), ("vz", "f4"), ("mass", "f4")]
 COLUMNS = ("x", "y", "z", "vx", "vy", "vz", "mass", "id")
@@ -40,15 +40,6 @@ class Range(InputPartition):
         self.path, self.first, self.count = path, first, count
 
 
-def _files(path: str) -> list[str]:
-    fs, local = open_fs(path)
-    if any(c in local for c in "*?["):
-        return sorted(glob.glob(local))
-    if os.path.isdir(local):
-        return sorted(os.path.join(local, f) for f in os.listdir(local) if not f.startswith((".", "_")))
-    return [local]
-
-
 class RecordSource(DataSource):
     """spark.read.format("particle_records").option("path", ...): options tag (i4, i8), order (<, >), split (records)."""
 
@@ -71,8 +62,7 @@ class RecordReader(DataSourceReader):
     def partitions(self):
         size = record_type(*self.kind).itemsize
         out = []
-        for f in _files(self.path):
-            n = os.path.getsize(f)
+        for f, n in list_files(self.path):
             if n % size:
                 raise ValueError(f"{f} does not hold whole records")
             out += [Range(f, a, min(self.split, n // size - a)) for a in range(0, n // size, self.split)]
@@ -80,7 +70,8 @@ class RecordReader(DataSourceReader):
 
     def read(self, part):
         kind = record_type(*self.kind)
-        with open(part.path, "rb") as f:
+        fs, path = open_fs(part.path)
+        with fs.open_input_file(path) as f:
             f.seek(part.first * kind.itemsize)
             rows = np.frombuffer(f.read(part.count * kind.itemsize), kind)
         yield _batch({c: rows[c] for c in COLUMNS})
@@ -110,7 +101,7 @@ class BlockReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", 1 << 20))
 
     def partitions(self):
-        return [Range(f, a, min(self.split, n - a)) for f in _files(self.path) for n in [int(read_header(f)[0]["npart"].sum())] for a in range(0, n, self.split)]
+        return [Range(f, a, min(self.split, n - a)) for f, _ in list_files(self.path) for n in [int(read_header(f)[0]["npart"].sum())] for a in range(0, n, self.split)]
 
     def read(self, part):
         head, order = read_header(part.path)
@@ -118,7 +109,8 @@ class BlockReader(DataSourceReader):
         kind_of = np.repeat(np.arange(6), head["npart"])[part.first : part.first + part.count]
         at = 4 + 256 + 4
         cols = {}
-        with open(part.path, "rb") as f:
+        fs, path = open_fs(part.path)
+        with fs.open_input_file(path) as f:
             for names in (("x", "y", "z"), ("vx", "vy", "vz")):
                 f.seek(at + 4 + 12 * part.first)
                 xyz = np.frombuffer(f.read(12 * part.count), order + "f4").reshape(-1, 3)
@@ -134,7 +126,8 @@ class BlockReader(DataSourceReader):
 
 def read_header(path: str) -> tuple[np.void, str]:
     """A block file's header and byte order: its first marker is 256 in the right one."""
-    with open(path, "rb") as f:
+    fs, local = open_fs(path)
+    with fs.open_input_file(local) as f:
         raw = f.read(260)
     for order in "<>":
         if np.frombuffer(raw[:4], order + "u4")[0] == 256:
@@ -169,15 +162,64 @@ def block_bytes(cols: dict, box: float = 1.0, redshift: float = 0.0, order: str
 
 
 def write_records(df: DataFrame, folder: str, tag: str = "i8", order: str = "<") -> DataFrame:
-    """Write each task's particles as a record file named after its place among the tasks; returns (path, n)."""
-    from pyspark import TaskContext
+    """Write each task's particles as a record file, batch by batch; (path, n). Files are named anew by each attempt."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
-            path = f"{folder}/part-{TaskContext.get().partitionId():05d}.cosmo"
-            write_bytes(path, [record_bytes({c: np.asarray(t.column(c)) for c in COLUMNS}, tag, order)])
-            yield pa.record_batch([pa.array([path]), pa.array([t.num_rows])], ["path", "n"])
+        n, path = 0, f"{folder}/part-{uuid.uuid4().hex}.cosmo"
+
+        def parts():
+            nonlocal n
+            for t in batches:
+                n += t.num_rows
+                yield record_bytes({c: np.asarray(t.column(c)) for c in COLUMNS}, tag, order)
+
+        write_bytes(path, parts())
+        yield pa.record_batch([pa.array([path]), pa.array([n])], ["path", "n"])
 
     return df.select(*COLUMNS).mapInArrow(run, "path string, n bigint")
+
+
+def reject_outside(points: DataFrame, box: float) -> DataFrame:
+    """The points; one beyond the box on any axis fails the job that reads it."""
+    out = F.greatest("x", "y", "z") > box
+    return points.withColumn("x", F.when(out, F.raise_error(F.format_string("particle %d lies beyond the box", "id")).cast("double")).otherwise(F.col("x")))
+
+
+def read_with_ghosts(spark: SparkSession, path: str, box: float, blocks: int, depth: float, **options) -> DataFrame:
+    """Particles of record files with the block that sees them: its own (ghost 0), and copies of those within depth of its
+    faces (ghost 1), placed as it sees them. Columns: block_*, x, y, z, velocity, mass, tag, ghost."""
+    from skyloom.operators.spatial import ghost_exchange, owners
+
+    register(spark)
+    own = spark.read.format("particle_records").options(path=path, **options).load()
+    mine = owners(own, box, blocks, "block_").withColumn("ghost", F.lit(0))
+    shared = ghost_exchange(own, box, blocks, depth).withColumnsRenamed({f"ghost_{a}": f"block_{a}" for a in "xyz"}).withColumn("ghost", F.lit(1))
+    both = mine.unionByName(shared.select(*mine.columns))
+    return both.select("block_x", "block_y", "block_z", "x", "y", "z", F.array("vx", "vy", "vz").alias("velocity"), "mass", F.col("id").alias("tag"), "ghost")
+
+
+def jittered(spark: SparkSession, n: int, jitter: float, seed: int = 0) -> DataFrame:
+    """(id, x, y, z): n cubed particles at the cell middles of the unit box, moved along each axis by up to `jitter` cells:
+    down if that stays inside, else up if that does, else not. Moves come from the id, the same in every run."""
+    out = spark.range(n**3)
+    for axis, name in enumerate("xyz"):
+        middle = (F.expr(f"id div {n**axis} % {n}") + 0.5) / n
+        move = (F.expr(f"((id * 3 + {axis + seed}) * 7919 + 104729) % 1000") / 1000.0) * (jitter / n)
+        out = out.withColumn(name, F.when(middle - move >= 0, middle - move).when(middle + move <= 1, middle + move).otherwise(middle))
+    return out
+
+
+def time_steps(spark: SparkSession, path: str) -> list[int]:
+    """The steps listed in a text file, one or more a line, in order."""
+    words = spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("w")).filter("w != ''")
+    return sorted({int(r["w"]) for r in words.collect()})
+
+
+#: Three snapshots of groups as (step, tag, first id, last id).
+SYNTHETIC_HALOS = ((0, 0, 0, 5), (0, 1, 6, 10), (0, 2, 11, 20), (1, 0, 0, 10), (1, 1, 25, 30), (2, 0, 0, 10), (2, 1, 25, 27), (2, 2, 28, 30))
+
+
+def synthetic_halos(spark: SparkSession) -> DataFrame:
+    """(timestep, halo_tag, id) of three made-up snapshots, in which groups merge, split, die and are born."""
+    rows = spark.createDataFrame(list(SYNTHETIC_HALOS), "timestep int, halo_tag long, a long, b long")
+    return rows.select("timestep", "halo_tag", F.explode(F.sequence("a", "b")).alias("id"))
