@@ -51,8 +51,9 @@ def deaths(members: DataFrame, threshold: int) -> DataFrame:
     return groups.join(F.broadcast(last), F.col("timestep") < F.col("last")).drop("last").join(alive, ["timestep", "halo_tag"], "left_anti")
 
 
-def interval(before: DataFrame, after: DataFrame, threshold: int, cutoff: int) -> tuple[DataFrame, DataFrame]:
-    """One step of the tree. before: (node_id, tag, zombie, age, id), after: (tag, id) of the next snapshot.
+def interval(before: DataFrame, after: DataFrame, threshold: int, cutoff: int, aged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One step of the tree. before: (node_id, tag, zombie, age, id), after: (tag, id) of the next snapshot; aged: zombies
+    past the cut-off (node_id, tag, zombie, age), which are carried on but compared no more.
 
     Returns links (node_id, tag) and nodes of the next snapshot without ids of their own: (tag, zombie, age, event_mask,
     source), source being the node that a zombie continues."""
@@ -69,7 +70,9 @@ def interval(before: DataFrame, after: DataFrame, threshold: int, cutoff: int) -
     fresh = after.select("tag").distinct().join(known, "tag", "left").select(
         "tag", F.lit(False).alias("zombie"), F.lit(0).alias("age"), F.coalesce("mask", F.lit(8)).cast("int").alias("event_mask"), F.lit(None).cast("long").alias("source")
     )
-    gone = size.join(found.select("node_id").distinct(), "node_id", "left_anti")
+    gone = size.join(found.select("node_id").distinct(), "node_id", "left_anti").drop("size")
+    if aged is not None:
+        gone = gone.unionByName(aged)
     ghosts = gone.select("tag", F.lit(True).alias("zombie"), (F.col("age") + 1).alias("age"), F.lit(16).alias("event_mask"), F.col("node_id").alias("source"))
     return found.select("node_id", F.col("next_tag").alias("tag")), fresh.unionByName(ghosts)
 
@@ -79,17 +82,21 @@ def build_tree(members: DataFrame, threshold: int = 50, cutoff: int = 5) -> tupl
 
     nodes: node_id, timestep, halo_tag, zombie, age, event_mask, descendant_id; edges: node_id, descendant_id. Only the
     carry-over is sequential: one round for each snapshot, its state written to the shared folder. Ids run on by
-    (timestep, zombie, tag)."""
+    (timestep, zombie, tag, source). Particles of zombies are carried until these are past the cut-off.
+
+    A node's descendant is the most massive one, by its particles here (sinks.tree_table has masses); of equals that of the
+    least id."""
     members = materialize(members.select("timestep", F.col("halo_tag").alias("tag"), "id").distinct(), "members")
     steps = sorted(r[0] for r in members.select("timestep").distinct().collect())
-    nodes, edges, state, following = [], [], None, 0
+    sizes: list[DataFrame] = []
+    nodes, edges, state, aged, following = [], [], None, None, 0
     for step in steps:
         after = members.filter(F.col("timestep") == step).select("tag", "id")
         if state is None:
             fresh = after.select("tag").distinct().select("tag", F.lit(False).alias("zombie"), F.lit(0).alias("age"), F.lit(8).alias("event_mask"), F.lit(None).cast("long").alias("source"))
             links = None
         else:
-            links, fresh = interval(state, after, threshold, cutoff)
+            links, fresh = interval(state, after, threshold, cutoff, aged)
             links = materialize(links, "tree-links")
         numbered = materialize(_number(fresh, following).withColumn("timestep", F.lit(step)), "tree-nodes")
         if links is not None:
@@ -98,20 +105,29 @@ def build_tree(members: DataFrame, threshold: int = 50, cutoff: int = 5) -> tupl
             edges.append(kept.unionByName(carried))
         own = numbered.filter("NOT zombie").join(after, "tag").select("node_id", "tag", "zombie", "age", "id")
         if state is not None:
-            old = state.select(F.col("node_id").alias("source"), "id")
-            own = own.unionByName(numbered.filter("zombie").join(old, "source").select("node_id", "tag", "zombie", "age", "id"))
+            own = own.unionByName(carried_ids(numbered, state, cutoff))
+        aged = numbered.filter(F.col("zombie") & (F.col("age") > cutoff)).select("node_id", "tag", "zombie", "age")
         state = materialize(own, "tree-state")
+        sizes.append(state.groupBy("node_id").agg(F.count("*").alias("size")))
         following += numbered.count()
         nodes.append(numbered)
     all_nodes = _union(nodes)
     if not edges:
         return all_nodes.select("node_id", "timestep", F.col("tag").alias("halo_tag"), "zombie", "age", "event_mask", F.lit(-1).cast("long").alias("descendant_id")), all_nodes.select("node_id", F.col("node_id").alias("descendant_id")).limit(0)
     all_edges = _union(edges)
-    best = all_edges.groupBy("node_id").agg(F.min("descendant_id").alias("descendant_id"))
+    heavy = all_edges.join(_union(sizes).withColumnRenamed("node_id", "descendant_id"), "descendant_id", "left")
+    first = F.struct(F.coalesce("size", F.lit(0)).alias("size"), (-F.col("descendant_id")).alias("near"))
+    best = heavy.groupBy("node_id").agg(F.max_by("descendant_id", first).alias("descendant_id"))
     out = all_nodes.join(best, "node_id", "left").select("node_id", "timestep", F.col("tag").alias("halo_tag"), "zombie", "age", "event_mask", F.coalesce("descendant_id", F.lit(-1)).alias("descendant_id"))
     return out, all_edges
 
 
+def carried_ids(numbered: DataFrame, state: DataFrame, cutoff: int) -> DataFrame:
+    """The particles of zombies that may yet be matched, from those of the nodes they continue."""
+    old = state.select(F.col("node_id").alias("source"), "id")
+    return numbered.filter(F.col("zombie") & (F.col("age") <= cutoff)).join(old, "source").select("node_id", "tag", "zombie", "age", "id")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -120,13 +136,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _number(fresh: DataFrame, following: int) -> DataFrame:
-    """Contiguous ids by (zombie, tag): ranks within parts of a range sort, and the sums of the parts before them."""
+    """Contiguous ids by (zombie, tag, source): ranks within parts of a range sort, and the sums of the parts before them."""
     spark = fresh.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    laid = materialize(fresh.repartitionByRange(tasks, "zombie", "tag").withColumn("part", F.spark_partition_id()), "tree-order")
+    laid = materialize(fresh.repartitionByRange(tasks, "zombie", "tag", "source").withColumn("part", F.spark_partition_id()), "tree-order")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = laid.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("zombie", "tag"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("zombie", "tag", "source"))
     return laid.join(F.broadcast(starts), "part").withColumn("node_id", F.col("start") + place - 1 + following).drop("part", "start")
 
 
