@@ -107,13 +107,21 @@ def cells(points: DataFrame, box: float, blocks: int, depth: float) -> DataFrame
             volume, area = measures(faces, xyz[i])
             reach = max(np.linalg.norm(c - xyz[i], axis=1).max() for _, c in faces)
             wall = min((xyz[i] - low).min(), (high - xyz[i]).min())
-            rows.append((ids[i], volume, area, len(faces), all(n >= 0 for n, _ in faces) and 2 * reach <= wall + depth, [{"neighbour": n, "corners": c.ravel().tolist()} for n, c in faces]))
+            rows.append((ids[i], volume, area, len(faces), all(n >= 0 for n, _ in faces) and 2 * reach <= wall, [{"neighbour": n, "corners": c.ravel().tolist()} for n, c in faces]))
         return pd.DataFrame(rows, columns=["id", "volume", "area", "n_faces", "complete", "faces"])
 
     both = own.unionByName(ghosts)
     return both.groupBy(*(f"block_{a}" for a in AXES)).applyInPandas(run, "id long, volume double, area double, n_faces int, complete boolean, faces array<struct<neighbour:long,corners:array<double>>>")
 
 
+def volume_bounds(df: DataFrame, least: float = -1.0, most: float = -1.0) -> DataFrame:
+    """Complete cells whose volume is not below `least` nor above `most`; a bound that is not positive is none."""
+    out = df.filter("complete")
+    if least > 0:
+        out = out.filter(F.col("volume") >= least)
+    return out.filter(F.col("volume") <= most) if most > 0 else out
+
+
 def cell_filter(df: DataFrame, areas: tuple[float, float], volumes: tuple[float, float]) -> DataFrame:
     """Cells within closed ranges of area and volume."""
     return df.filter(F.col("area").between(*areas) & F.col("volume").between(*volumes))
@@ -222,3 +230,24 @@ def deposit(df: DataFrame, grid: int, box: float) -> DataFrame:
 
     spread = df.filter("volume > 0").select("volume", "faces").mapInPandas(run, "i int, j int, k int, density double")
     return spread.groupBy("i", "j", "k").agg(F.sum("density").alias("density"))
+
+
+def deposit_weighted(df: DataFrame, grid: int, box: float) -> DataFrame:
+    """(i, j, k, density): each cell's unit mass over its volume, dealt to the grid points of the cell's bounds by the
+    inverse of the volume of the box between the cell's middle and the point. Cells bring volume and faces."""
+
+    def run(batches):
+        step, eps = box / grid, 1e-9 * box
+        for pdf in batches:
+            rows = []
+            for volume, faces in zip(pdf["volume"], pdf["faces"]):
+                corners = np.concatenate([np.array(f["corners"]).reshape(-1, 3) for f in faces])
+                low, high, middle = np.floor(corners.min(0) / step).astype(int), np.ceil(corners.max(0) / step).astype(int), np.unique(np.round(corners, 12), axis=0).mean(0)
+                ijk = np.stack(np.meshgrid(*(np.arange(a, b + 1) for a, b in zip(low, high)), indexing="ij"), -1).reshape(-1, 3)
+                gap = np.abs(ijk * step - middle)
+                weight = 1 / np.where(gap < eps, 2 * eps, gap).prod(1)
+                rows += [(*map(int, p % grid), float(w)) for p, w in zip(ijk, weight / weight.sum() / volume)]
+            yield pd.DataFrame(rows, columns=["i", "j", "k", "density"])
+
+    spread = df.filter("volume > 0").select("volume", "faces").mapInPandas(run, "i int, j int, k int, density double")
+    return spread.groupBy("i", "j", "k").agg(F.sum("density").alias("density"))
