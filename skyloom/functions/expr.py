@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +97,62 @@ def sph_kernel(r: Column, h: Column) -> Column:
     inner = scale * (1 - 6 * u * u + 6 * u * u * u)
     outer = scale * 2 * (1 - u) * (1 - u) * (1 - u)
     return F.when(u <= 0.5, inner).when(u <= 1, outer).otherwise(0.0)
+
+
+def natural_spline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives of the cubic through (x, y), x rising, that has none at its ends."""
+    n = len(x)
+    out = np.zeros(n)
+    if n > 2:
+        h = np.diff(x)
+        slope = np.diff(y) / h
+        band = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
+        out[1:-1] = np.linalg.solve(band, 6 * np.diff(slope))
+    return out
+
+
+def spline_at(x: np.ndarray, y: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values of the cubic at the places `at`; outside x the end pieces go on."""
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    h = x[i + 1] - x[i]
+    a, b = (x[i + 1] - at) / h, (at - x[i]) / h
+    return a * y[i] + b * y[i + 1] + ((a**3 - a) * second[i] + (b**3 - b) * second[i + 1]) * h * h / 6
+
+
+def in_periodic_fringe(position: list[Column], low: list[float], high: list[float], percent: float) -> Column:
+    """Whether a point lies in the outer band of a box, so many per cent of each side wide; the band's inner face is out."""
+    out = F.lit(False)
+    for c, lo, hi in zip(position, low, high):
+        band = (hi - lo) * percent / 100.0
+        out = out | (c < lo + band) | (c > hi - band)
+    return out
+
+
+def extent_dimensions(extent: list[Column]) -> list[Column]:
+    """Nodes along each axis of an extent (low and high, inclusive, by axis)."""
+    return [extent[2 * a + 1] - extent[2 * a] + 1 for a in range(3)]
+
+
+def extent_nodes(extent: list[Column]) -> Column:
+    i, j, k = extent_dimensions(extent)
+    return i * j * k
+
+
+def extent_cells(extent: list[Column]) -> Column:
+    i, j, k = extent_dimensions(extent)
+    return (i - 1) * (j - 1) * (k - 1)
+
+
+def is_3d(extent: list[Column]) -> Column:
+    """Whether an extent has cells along each axis."""
+    return (extent[1] > extent[0]) & (extent[3] > extent[2]) & (extent[5] > extent[4])
+
+
+def node_key(timestep: Column, tag: Column) -> Column:
+    """The key of a group in a tree: its snapshot and tag, by a dot."""
+    return F.concat_ws(".", timestep.cast("string"), tag.cast("string"))
+
+
+def unit_mass(mass: Column, particle: float) -> Column:
+    """Masses of 1 stand for the particle mass."""
+    return F.when(mass == 1.0, F.lit(particle)).otherwise(mass)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.functions.expr import AXES, dist2, periodic_gap
+from skyloom.functions.expr import AXES, dist2, grid_index, periodic_gap
 
 _AROUND = list(product((-1, 0, 1), repeat=3))
 #: Half of the neighbour cells: each unordered pair of cells once.
@@ -102,3 +102,37 @@ def nearest(points: DataFrame, group: str, k: int, key: str = "id") -> DataFrame
     met = a.join(b, group).filter(F.col(f"a_{key}") != F.col(f"b_{key}")).withColumn("d2", dist2("a_", "b_"))
     order = Window.partitionBy(f"a_{key}").orderBy("d2", f"b_{key}")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(group, F.col(f"a_{key}").alias(key), F.col(f"b_{key}").alias("other"), "d2", "rank")
+
+
+def owners(points: DataFrame, box: float, blocks: int, prefix: str = "owner_") -> DataFrame:
+    """Adds the block along each axis that owns a position: half-open, `blocks` along each side of the box."""
+    return points.withColumns({f"{prefix}{a}": F.least(F.floor(F.col(a) / (box / blocks)), F.lit(blocks - 1)).cast("int") for a in AXES})
+
+
+def rehome(points: DataFrame, box: float, blocks: int) -> DataFrame:
+    """Points with the blocks home_* that owned them, after they moved: positions on the torus, owner_* and orphan, which is
+    true where the new owner is not the old one nor one of its 26 neighbours."""
+    inside = points.withColumns({a: F.col(a) - F.floor(F.col(a) / box) * box for a in AXES})
+    out = owners(inside, box, blocks)
+    far = F.lit(False)
+    for a in AXES:
+        gap = F.abs(F.col(f"owner_{a}") - F.col(f"home_{a}"))
+        far = far | (F.least(gap, F.lit(blocks) - gap) > 1)
+    return out.withColumn("orphan", far)
+
+
+def grid_ghosts(spark: SparkSession, n: int, blocks: int, low: int, high: int) -> DataFrame:
+    """Which cells of an n cubed periodic grid each block gets from others: block_*, the place i, j, k in the block's own
+    array and cell, its number, i fastest. A block has `low` dead planes before its own cells and `high` behind them."""
+    size = n // blocks
+    out = spark.range(blocks**3 * (size + low + high) ** 3)
+    wide = size + low + high
+    place, block = F.expr(f"id % {wide**3}"), F.expr(f"id div {wide**3}")
+    out = out.select(block.alias("_b"), place.alias("_p"))
+    for step, (a, name) in enumerate(zip(AXES, "ijk")):
+        out = out.withColumn(f"block_{a}", F.expr(f"_b div {blocks**step} % {blocks}")).withColumn(name, F.expr(f"_p div {wide**step} % {wide}"))
+    dead = F.lit(False)
+    for name in "ijk":
+        dead = dead | (F.col(name) < low) | (F.col(name) >= low + size)
+    at = [F.pmod(F.col(f"block_{a}") * size + F.col(name) - low, F.lit(n)) for a, name in zip(AXES, "ijk")]
+    return out.filter(dead).select(*(f"block_{a}" for a in AXES), *"ijk", grid_index(*at, n, n).alias("cell"))

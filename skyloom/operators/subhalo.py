@@ -64,14 +64,22 @@ def grow_groups(density: np.ndarray, near: np.ndarray, grouping: int, least: int
     return np.array([find(g) for g in parent])
 
 
+def _inverse_distances(xyz: np.ndarray) -> np.ndarray:
+    """Of each point the sum of one over its distance to every other; in blocks of rows."""
+    out = np.zeros(len(xyz))
+    for at in range(0, len(xyz), 512):
+        d = np.linalg.norm(xyz[at : at + 512, None] - xyz[None], axis=2)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        out[at : at + 512] = (1 / np.maximum(d, 1e-12)).sum(1)
+    return out
+
+
 def unbound(xyz: np.ndarray, v: np.ndarray, mass: float, gravity: float) -> np.ndarray:
     """Which particles stay bound: those of positive energy go in rounds, the worst first (one, or a quarter of them
     when there are many), until none is left over."""
     keep = np.arange(len(xyz))
     while len(keep) > 1:
-        d = np.linalg.norm(xyz[keep][:, None] - xyz[keep][None], axis=2)
-        np.fill_diagonal(d, np.inf)
-        energy = 0.5 * ((v[keep] - v[keep].mean(0)) ** 2).sum(1) - gravity * mass * (1 / np.maximum(d, 1e-12)).sum(1)
+        energy = 0.5 * ((v[keep] - v[keep].mean(0)) ** 2).sum(1) - gravity * mass * _inverse_distances(xyz[keep])
         bad = np.flatnonzero(energy > 0)
         if not len(bad):
             break
