@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import YES_WORDS
+from skyloom.functions.files import read_text
+from skyloom.plans.timers import Timers
 
 
 @dataclass
@@ -96,7 +98,7 @@ def tool(name: str):
     return add
 
 
-@tool("LANLHALOFINDER")
+@tool("HALOFINDER")
 def find_halos(particles: DataFrame, own: Section) -> DataFrame:
     """Groups with at least PMIN members linked below BB times the mean spacing RL / NP, their properties and centers."""
     from skyloom.operators import halos
@@ -133,6 +135,26 @@ def probe(particles: DataFrame, own: Section) -> DataFrame:
     return p.probe(p.probe_grid(spark, own.integer("GRID", 8)), tets, own.number("BUCKET", 0.25))
 
 
+class Scheduler:
+    """Runs the tools of a configuration file step by step; the file is read anew at each step, so that what changes in it
+    holds from the next step on."""
+
+    def __init__(self, path: str, timers: Timers | None = None):
+        self.path, self.timers = path, timers or Timers()
+
+    def step(self, particles: DataFrame, step: int) -> dict[str, DataFrame]:
+        """The results of the tools that are on and due."""
+        config, out = parse(read_text(self.path) or ""), {}
+        for name, on in config.tools.items():
+            own = config.sections.get(name, Section(name))
+            if on and own.due(step):
+                if name not in TOOLS:
+                    raise ValueError(f"no tool named {name}")
+                with self.timers.event(name, step):
+                    out[name] = TOOLS[name](particles, own)
+        return out
+
+
 def run(config: Config, snapshots: DataFrame, step_col: str = "timestep") -> dict[tuple[str, int], DataFrame]:
     """The results of the tools that are on and due at each snapshot."""
     steps = sorted(r[0] for r in snapshots.select(step_col).distinct().collect())
