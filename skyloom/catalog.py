@@ -54,14 +54,12 @@ def fof_pairs(spark, sf_dir):
     return spatial.close_pairs(particles(spark, sf_dir), LINK).select("id1", "id2")
 
 
-@query(f"""WITH {PARTICLES_SQL}, s AS (SELECT id, x+0.5 AS x, y+0.5 AS y, z+0.5 AS z FROM particles)
+@query(f"""WITH {PARTICLES_SQL}, s AS (SELECT id, x+0.5-floor(x+0.5) AS x, y+0.5-floor(y+0.5) AS y, z+0.5-floor(z+0.5) AS z FROM particles)
 SELECT a.id AS id1, b.id AS id2 FROM s a JOIN s b ON a.id < b.id AND
- power(least(abs(a.x-b.x), 0.8-abs(a.x-b.x)),2)+power(least(abs(a.y-b.y), 0.8-abs(a.y-b.y)),2)+power(least(abs(a.z-b.z), 0.8-abs(a.z-b.z)),2) < 0.0049
-WHERE greatest(a.x,a.y,a.z,b.x,b.y,b.z) < 0.8 AND least(a.x,a.y,a.z,b.x,b.y,b.z) >= 0""")
+ power(least(abs(a.x-b.x), 1-abs(a.x-b.x)),2)+power(least(abs(a.y-b.y), 1-abs(a.y-b.y)),2)+power(least(abs(a.z-b.z), 1-abs(a.z-b.z)),2) < 0.0049""")
 def fof_pairs_periodic(spark, sf_dir):
-    moved = particles(spark, sf_dir).select("id", *((F.col(a) + 0.5).alias(a) for a in "xyz"))
-    inside = moved.filter(F.greatest("x", "y", "z") < 0.8).filter(F.least("x", "y", "z") >= 0)
-    return spatial.close_pairs_periodic(inside, 0.07, 0.8).select("id1", "id2")
+    at = particles(spark, sf_dir).select("id", *((F.col(a) + 0.5 - F.floor(F.col(a) + 0.5)).alias(a) for a in "xyz"))
+    return spatial.close_pairs_periodic(at, 0.07, 1.0).select("id1", "id2")
 
 
 @query(f"WITH RECURSIVE {FOF_SQL} SELECT id, CASE WHEN size >= {LEAST} THEN tag ELSE -1 END AS halo_tag, size AS halo_size FROM sized")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from skyloom import catalog
+from skyloom import catalog_files as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -14,6 +14,11 @@ CHEAP = [
     "overlap_matrix", "merger_events", "merger_deaths", "ghost_exchange", "grid_exchange", "redshift_schedule", "triggers_and_bits",
     "euler_mesh", "caustic_faces", "face_adjacency", "fringe_tets", "probe_grid", "boundary_faces", "region_merge", "shapefinders",
     "volume_histogram", "knn_density", "record_roundtrip", "sod_radius", "sod_members", "sod_halos",
+    "particle_sink", "halo_catalog_sink", "particle_text_sink", "one_halo_sink", "split_records_sink", "fof_text_sink",
+    "sod_profile_by_mass", "halo_gates", "halo_mbp_in_blocks", "group_report", "group_report_particles", "jittered_particles",
+    "voronoi_files", "voronoi_polyhedra", "voronoi_density_weighted", "read_with_ghosts", "synthetic_halos", "rehoming_3d",
+    "grid_ghost_planes", "extents", "periodic_fringe", "node_keys", "particle_masses", "merger_tree", "merger_tree_counts",
+    "merger_tree_text", "stream_merger_tree", "merger_tree_table",
 ]
 
 

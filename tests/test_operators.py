@@ -75,17 +75,17 @@ def test_binary_sources(spark, tmp_path, order):
 
 
 def test_config_round_trip():
-    text = "VERSION 1\nANALYSISTOOL LANLHALOFINDER YES\nANALYSISTOOL TESS off\n# a note\n# LANLHALOFINDER SECTION\nBB 0.2\nFREQUENCY_TYPE EXPLICIT\nTIMESTEPS 3 5\n"
+    text = "VERSION 1\nANALYSISTOOL HALOFINDER YES\nANALYSISTOOL TESS off\n# a note\n# HALOFINDER SECTION\nBB 0.2\nFREQUENCY_TYPE EXPLICIT\nTIMESTEPS 3 5\n"
     c = config.parse(text)
     assert config.parse(config.write(c)) == c
-    own = c.sections["LANLHALOFINDER"]
-    assert c.tools == {"LANLHALOFINDER": True, "TESS": False} and own.number("bb") == 0.2 and own.due(5) and not own.due(4)
+    own = c.sections["HALOFINDER"]
+    assert c.tools == {"HALOFINDER": True, "TESS": False} and own.number("bb") == 0.2 and own.due(5) and not own.due(4)
 
 
 def test_config_runs_halo_finder(spark):
     p = spark.createDataFrame([(1, i, x, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, float(i)) for i, x in enumerate((0.0, 0.1, 0.2, 0.9))], "timestep int, id long, x double, y double, z double, vx double, vy double, vz double, mass double, potential double")
-    out = config.run(config.parse("ANALYSISTOOL LANLHALOFINDER YES\n# LANLHALOFINDER SECTION\nBB 0.15\nPMIN 2\n"), p)
-    (row,) = out["LANLHALOFINDER", 1].collect()
+    out = config.run(config.parse("ANALYSISTOOL HALOFINDER YES\n# HALOFINDER SECTION\nBB 0.15\nPMIN 2\n"), p)
+    (row,) = out["HALOFINDER", 1].collect()
     assert (row["halo_tag"], row["fof_halo_count"], row["min_potential_id"]) == (0, 3, 0)
 
 
