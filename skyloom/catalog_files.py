@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.catalog import FOF_SQL, LEAST, LINK, MATCH, ORACLE_SQL, QUERIES, SOD_SQL, _own, query, rounded
+from skyloom.catalog import CELLS, CORNERS, FOF_SQL, GRID, LEAST, LINK, MATCH, ORACLE_SQL, PLACED_SQL, QUERIES, SOD_SQL, TET_SQL, _own, _placed, query, rounded
 from skyloom.functions import expr
 from skyloom.functions.files import make_folder
 from skyloom.functions.shared import shared_path
-from skyloom.operators import halos, mergertree, spatial, voronoi
+from skyloom.operators import halos, mergertree, probe, spatial, voronoi
 from skyloom.sources import sinks, snapshots
 from skyloom.sources.tables import MEMBERSHIP_SQL, PARTICLES_SQL, memberships, particles, table
 
@@ -72,7 +72,6 @@ def fof_text_sink(spark, sf_dir):
 
 # ---- gates, radii by mass, reports
 
-_CENTERS = ", ".join(f"avg({a}) AS c{a}" for a in "xyz")
 SOD_MASS_SQL = (
     SOD_SQL.replace("c AS (SELECT halo_tag, avg(x)", "c AS (SELECT halo_tag, r_max, cx, cy, cz, mx, my, mz FROM (SELECT *, least(2*power(m/1000.0, 1/3.0), cx+1, 1-cx, cy+1, 1-cy, cz+1, 1-cz) AS r_max FROM (SELECT halo_tag, sum(mass) AS m, avg(x)")
     .replace("avg(vz) AS mz FROM own GROUP BY halo_tag)", "avg(vz) AS mz FROM own GROUP BY halo_tag HAVING sum(mass) > 20)) WHERE r_max > 0.02)")
@@ -288,4 +287,36 @@ def merger_tree_table(spark, sf_dir):
     return rounded(back.select("tree_node_id", "halo_tag", "halo_mass", "timestep", "redshift", "center_x", "descendant_id", "event_mask"))
 
 
+# ---- probe and groups
+
+@query(ORACLE_SQL["probe_grid"])
+def probe_uniform(spark, sf_dir):
+    out = probe.probe_uniform(_placed(spark), GRID)
+    return out.select("point_id", "streams", F.round(F.col("rho") * 1e6, 3).alias("rho"))
+
+
+@query(f"WITH {TET_SQL.replace('(i+j+k)%2=0', f'(i+{CELLS + 1}*(j+{CELLS + 1}*k))%2=0')} SELECT tet_id, n0, n1, n2, n3 FROM tets")
+def tet_tessellation_by_index(spark, sf_dir):
+    return probe.tetrahedra(spark, CELLS, compat=True)
+
+
+@query(f"""WITH {PLACED_SQL}, b AS (SELECT {', '.join(f'CAST(floor(least({", ".join(c + a for c in CORNERS)})*4) AS BIGINT) AS lo{a}, CAST(floor(greatest({", ".join(c + a for c in CORNERS)})*4) AS BIGINT) AS hi{a}' for a in 'xyz')} FROM placed)
+SELECT bx, by_ AS by, bz, count(*) AS n FROM b, unnest(range(lox, hix+1)) x(bx), unnest(range(loy, hiy+1)) y(by_), unnest(range(loz, hiz+1)) z(bz) GROUP BY 1, 2, 3""")
+def bucket_occupancy(spark, sf_dir):
+    return probe.occupancy(_placed(spark), 0.25)
+
+
+@query(f"WITH RECURSIVE {FOF_SQL} SELECT DISTINCT halo_tag, halo_size FROM own WHERE halo_size > 5")
+def halo_sizes(spark, sf_dir):
+    return halos.sizes(halos.membership(particles(spark, sf_dir), LINK, LEAST), 5)
+
+
+@query(f"WITH RECURSIVE {FOF_SQL} SELECT id, round(x,6) AS x, round(vx,6) AS vx, mass FROM own WHERE halo_tag = (SELECT min(halo_tag) FROM own)")
+def halo_information(spark, sf_dir):
+    p = particles(spark, sf_dir)
+    members = halos.membership(p, LINK, LEAST)
+    first = members.filter("halo_tag >= 0").agg(F.min("halo_tag")).first()[0]
+    return rounded(halos.particles_of(p, members, first).select("id", "x", "vx", "mass"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

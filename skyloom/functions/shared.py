@@ -34,3 +34,9 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete what materialize() or a round wrote, once nothing reads it any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skyloom.functions.shared import shared_root
+from skyloom.functions.shared import drop_folder, shared_path
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -14,22 +14,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Returns (node, component). Self-loops and rows with a null end are ignored, repeated edges count once, an empty
     edge table gives an empty result. Every round is a min-aggregate and an equi-join, so a hub's edges are combined
     map-side and its join partition can be split; rounds grow with the logarithm of the graph, not its diameter.
-    Lineage is cut with checkpoint() in the shared folder.
+    Each round is written to the shared folder, which cuts the lineage, and observed while it is; the round before goes.
     """
-    shared_root(edges.sparkSession)
     a, b = F.col(src), F.col(dst)
-    cur = (
-        edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-        .checkpoint()
-    )
-    before = _signature(cur)
+    first = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    cur, path, before = _written(first)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        cur = _small_star(_large_star(cur)).checkpoint()
-        after = _signature(cur)
+        nxt, there, after = _written(_small_star(_large_star(cur)))
+        drop_folder(cur.sparkSession, path)
+        cur, path = nxt, there
         if after == before:
             break
         before = after
@@ -41,14 +36,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
 
 
-def _signature(pairs: DataFrame) -> tuple:
-    """Count and two order-free checksums: equal exactly when a round changed nothing (up to 128-bit chance)."""
-    row = pairs.agg(
-        F.count("*"),
-        F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)),
-        F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(1))), F.lit(0)),
-    ).first()
-    return tuple(row)
+def _written(pairs: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The pairs from the shared folder, where they lie, and a signature taken on the way: their count and two order-free
+    checksums, equal exactly when a round changed nothing (up to 128-bit chance)."""
+    spark, seen = pairs.sparkSession, Observation()
+    path = shared_path(spark, "components")
+    signed = pairs.observe(
+        seen, F.count("*").alias("n"),
+        F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("a"), F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(1))), F.lit(0)).alias("b"),
+    )
+    signed.write.parquet(path)
+    got = seen.get
+    return spark.read.schema(pairs.schema).parquet(path), path, (got["n"], got["a"], got["b"])
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

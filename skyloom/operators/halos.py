@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import AXES, dist2, sph_kernel
+from skyloom.functions.shared import materialize
 from skyloom.operators.components import connected_components
 from skyloom.operators.spatial import close_pairs, nearest, within
 
@@ -111,6 +112,16 @@ def most_bound_in_blocks(own: DataFrame, block: int = 4096) -> DataFrame:
     return phi.groupBy("halo_tag").agg(best.alias("b")).select("halo_tag", F.col("b.id").alias("mbp_id"), F.col("b.phi").alias("potential"))
 
 
+def sizes(members: DataFrame, above: int) -> DataFrame:
+    """(halo_tag, halo_size) of groups with more members than `above`."""
+    return members.filter((F.col("halo_tag") >= 0) & (F.col("halo_size") > above)).select("halo_tag", "halo_size").distinct()
+
+
+def particles_of(points: DataFrame, members: DataFrame, halo_tag: int) -> DataFrame:
+    """The particles of one group: ids, places and all else that points have."""
+    return points.join(members.filter(F.col("halo_tag") == halo_tag).select("id"), "id", "left_semi")
+
+
 def massive(catalog: DataFrame, mass: float) -> DataFrame:
     """Groups heavier than a mass, strictly: those that overdensity halos are built around."""
     return catalog.filter(F.col("fof_halo_mass") > mass)
@@ -185,7 +196,11 @@ def _binned(centers: DataFrame, points: DataFrame, r_min: float | None, r_max: f
 def overdensity_profile(centers: DataFrame, points: DataFrame, r_min: float | None, r_max: float | None, bins: int, rho_c: float) -> DataFrame:
     """Logarithmic bins about each center: count, mass, mean radius, mean radial velocity, cumulative mass and density
     ratio. centers: halo_tag, center_*, mean_v*. Bin 0 holds what is within r_min; empty bins are there, with ratio 0."""
-    filled = _binned(centers, points, r_min, r_max, bins).groupBy("halo_tag", "bin").agg(
+    return _profile(_binned(centers, points, r_min, r_max, bins), centers, bins, rho_c)
+
+
+def _profile(near: DataFrame, centers: DataFrame, bins: int, rho_c: float) -> DataFrame:
+    filled = near.groupBy("halo_tag", "bin").agg(
         F.count("*").alias("n"), F.sum("mass").alias("m"), F.avg("r").alias("radius"), F.avg("vr").alias("rad_vel")
     )
     every = centers.select("halo_tag", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("bin"))
@@ -214,10 +229,11 @@ def overdensity_members(centers: DataFrame, points: DataFrame, r_min: float, r_m
     Centers without a critical bin have no rows; an empty critical bin gives a null radius. Only the critical bin is
     walked in order; what lies below comes in as its sum.
     """
-    profile = overdensity_profile(centers, points, r_min, r_max, bins, rho_c)
+    binned = materialize(_binned(centers, points, r_min, r_max, bins), "sod-near")  # read three times below
+    profile = _profile(binned, centers, bins, rho_c)
     found = overdensity_radius(profile, ratio).select("halo_tag", "critical_bin")
     lower = profile.select("halo_tag", (F.col("bin") + 1).alias("critical_bin"), F.col("cum_mass").alias("lower_mass"))
-    near = _binned(centers, points, r_min, r_max, bins).join(found.join(lower, ["halo_tag", "critical_bin"]), "halo_tag")
+    near = binned.join(found.join(lower, ["halo_tag", "critical_bin"]), "halo_tag")
     up = Window.partitionBy("halo_tag").orderBy("r", "id").rowsBetween(Window.unboundedPreceding, 0)
     ball = F.lit(4 * math.pi / 3) * F.col("r") * F.col("r") * F.col("r")
     rim = near.filter("bin = critical_bin").withColumn("to_here", F.col("lower_mass") + F.sum("mass").over(up))

@@ -27,13 +27,15 @@ def displaced(nodes: DataFrame, cells: int, strength: float) -> DataFrame:
     return nodes.select("node_id", *((u[a] - F.lit(strength) * bump[a] * (F.lit(1.0) + u[nxt[a]])).alias(a) for a in "xyz"))
 
 
-def tetrahedra(spark: SparkSession, cells: int) -> DataFrame:
-    """Five tetrahedra for each voxel: tet_id, n0..n3, oriented positively. Voxels alternate so that faces conform."""
+def tetrahedra(spark: SparkSession, cells: int, compat: bool = False) -> DataFrame:
+    """Five tetrahedra for each voxel: tet_id, n0..n3, oriented positively. Voxels alternate so that faces conform; with
+    `compat` by the parity of their first node's number, which alternates along all axes for an even number of cells only."""
     n = cells + 1
     voxel = spark.range(cells**3).select(F.col("id").alias("voxel"), (F.col("id") % cells).alias("i"), (F.expr(f"id div {cells}") % cells).alias("j"), F.expr(f"id div {cells * cells}").alias("k"))
     node = lambda b: F.col("i") + (b & 1) + n * (F.col("j") + (b >> 1 & 1) + n * (F.col("k") + (b >> 2 & 1)))
     pattern = lambda tets: F.array(*(F.struct(*(node(b).alias(f"n{s}") for s, b in enumerate(t))) for t in tets))
-    chosen = F.when((F.col("i") + F.col("j") + F.col("k")) % 2 == 0, pattern([_positive(t) for t in EVEN_TETS])).otherwise(pattern([_positive(t) for t in ODD_TETS]))
+    parity = node(0) if compat else F.col("i") + F.col("j") + F.col("k")
+    chosen = F.when(parity % 2 == 0, pattern([_positive(t) for t in EVEN_TETS])).otherwise(pattern([_positive(t) for t in ODD_TETS]))
     return voxel.select("voxel", F.posexplode(chosen).alias("s", "t")).select((F.col("voxel") * 5 + F.col("s")).alias("tet_id"), "t.n0", "t.n1", "t.n2", "t.n3")
 
 
@@ -118,6 +120,37 @@ def probe(points: DataFrame, tets: DataFrame, side: float) -> DataFrame:
     return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("streams", F.lit(0)).alias("streams"), F.coalesce("rho", F.lit(0.0)).alias("rho"))
 
 
+def probe_uniform(tets: DataFrame, n: int) -> DataFrame:
+    """probe() of the points of probe_grid(n), without a join: each tetrahedron makes the grid points of its own bounds and
+    keeps those inside, so only hits are shuffled, added up in their tasks before."""
+    put = tets.select("p0", "p1", "p2", "p3", "volume")
+    size = F.lit(1)
+    for a in "xyz":
+        corners = [F.col(f"p{s}.{a}") * n - 0.5 for s in range(4)]
+        first, last = F.ceil(F.least(*corners) - 1e-9), F.floor(F.greatest(*corners) + 1e-9)
+        put = put.withColumn(f"_{a}", F.greatest(first, F.lit(0))).withColumn(f"_n{a}", F.least(last, F.lit(n - 1)) - F.col(f"_{a}") + 1)
+        put = put.filter(F.col(f"_n{a}") > 0)
+        size = size * F.col(f"_n{a}")
+    put = put.withColumn("_at", F.explode(F.sequence(F.lit(0), size - 1)))
+    i = F.col("_x") + F.col("_at") % F.col("_nx")
+    j = F.col("_y") + F.expr("_at div _nx % _ny")
+    k = F.col("_z") + F.expr("_at div (_nx * _ny)")
+    hit = _same_side([(c + F.lit(0.5)) / n for c in (i, j, k)], [[F.col(f"p{s}.{a}") for a in "xyz"] for s in range(4)])
+    found = put.filter(hit).select(((k * n + j) * n + i).alias("point_id"), F.abs("volume").alias("v"))
+    found = found.groupBy("point_id").agg(F.count("*").alias("streams"), F.avg("v").alias("rho"))
+    every = tets.sparkSession.range(n**3).withColumnRenamed("id", "point_id")
+    return every.join(found, "point_id", "left").select("point_id", F.coalesce("streams", F.lit(0)).alias("streams"), F.coalesce("rho", F.lit(0.0)).alias("rho"))
+
+
+def occupancy(tets: DataFrame, side: float) -> DataFrame:
+    """(bx, by, bz, n): tetrahedra whose bounds touch each bucket of the given side; buckets without any are left out."""
+    put = tets.select("p0", "p1", "p2", "p3")
+    for a in "xyz":
+        corners = [F.col(f"p{s}.{a}") for s in range(4)]
+        put = put.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.least(*corners) / side), F.floor(F.greatest(*corners) / side))))
+    return put.groupBy("bx", "by", "bz").agg(F.count("*").alias("n"))
+
+
 def probe_grid(spark: SparkSession, n: int) -> DataFrame:
     """n cubed points at cell middles of the unit box."""
     mid = lambda c: (F.expr(c) + F.lit(0.5)) / n

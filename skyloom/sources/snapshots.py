@@ -41,7 +41,8 @@ class Range(InputPartition):
 
 
 class RecordSource(DataSource):
-    """spark.read.format("particle_records").option("path", ...): options tag (i4, i8), order (<, >), split (records)."""
+    """spark.read.format("particle_records").option("path", ...): options tag (i4, i8), order (<, >), split (records,
+    or file: each file is one partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,9 +55,15 @@ class RecordSource(DataSource):
         return RecordReader(self.options)
 
 
+def _split(options) -> int:
+    """Records of a partition at most."""
+    said = options.get("split", str(1 << 20))
+    return 1 << 62 if said == "file" else int(said)
+
+
 class RecordReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.split = options["path"], int(options.get("split", 1 << 20))
+        self.path, self.split = options["path"], _split(options)
         self.kind = (options.get("tag", "i8"), options.get("order", "<"))
 
     def partitions(self):
@@ -98,7 +105,7 @@ class BlockSource(DataSource):
 
 class BlockReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.split = options["path"], int(options.get("split", 1 << 20))
+        self.path, self.split = options["path"], _split(options)
 
     def partitions(self):
         return [Range(f, a, min(self.split, n - a)) for f, _ in list_files(self.path) for n in [int(read_header(f)[0]["npart"].sum())] for a in range(0, n, self.split)]

@@ -18,7 +18,8 @@ CHEAP = [
     "sod_profile_by_mass", "halo_gates", "halo_mbp_in_blocks", "group_report", "group_report_particles", "jittered_particles",
     "voronoi_files", "voronoi_polyhedra", "voronoi_density_weighted", "read_with_ghosts", "synthetic_halos", "rehoming_3d",
     "grid_ghost_planes", "extents", "periodic_fringe", "node_keys", "particle_masses", "merger_tree", "merger_tree_counts",
-    "merger_tree_text", "stream_merger_tree", "merger_tree_table",
+    "merger_tree_text", "stream_merger_tree", "merger_tree_table", "probe_uniform", "tet_tessellation_by_index",
+    "bucket_occupancy", "halo_sizes", "halo_information", "fof_pairs_periodic",
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import expr
 from skyloom.operators import halos, mergertree, spatial, voronoi
-from skyloom.plans import batch, config
+from skyloom.plans import batch, config, tracking
 from skyloom.plans.timers import Timers
 from skyloom.sources import sinks, snapshots
 from skyloom.streaming.tracker import StreamTracker, track_files
@@ -127,6 +127,7 @@ def test_sources_by_uri_and_bounds(spark, tmp_path):
     snapshots.register(spark)
     for path, n in ((f"file://{tmp_path}", 18), (f"{tmp_path}/a*", 9), (f"file://{tmp_path}/b.cosmo", 9)):
         assert spark.read.format("particle_records").option("path", path).load().count() == n
+    assert spark.read.format("particle_records").option("path", str(tmp_path)).option("split", "file").load().rdd.getNumPartitions() == 2
     points = spark.read.format("particle_records").option("path", f"{tmp_path}/a.cosmo").load()
     assert snapshots.reject_outside(points, 1.0).agg(F.sum("x")).first()[0] > 0
     with pytest.raises(Exception, match="beyond the box"):
@@ -157,3 +158,17 @@ def test_state_of_a_step_is_plain_json(tmp_path, spark):
     tracker = StreamTracker(spark, str(tmp_path / "t"), 50)
     tracker(spark.createDataFrame([(0, 1, 1)], MEMBERS), 0)
     assert json.loads((tmp_path / "t" / "0.json").read_text())["step"] == 0
+
+
+def test_tracking_finds_groups_of_each_snapshot(spark):
+    rows = [(t, 2.0 - t, 10 * g + i, g + 0.01 * i + 0.02 * t, 0.0, 0.0, 0.1, 0.0, 0.0, 1.0 + g, 0.0) for t in range(3) for g in range(3) for i in range(4)]
+    names = "timestep int, redshift double, id long, x double, y double, z double, vx double, vy double, vz double, mass double, potential double"
+    tree = tracking.track(spark.createDataFrame(rows, names), 0.05, 3)
+    got = {(r["timestep"], r["halo_tag"]): r for r in tree.collect()}
+    assert set(got) == {(t, 10 * g) for t in range(3) for g in range(3)} and got[1, 10]["halo_mass"] == 8.0 and got[2, 0]["redshift"] == 0.0
+    assert got[0, 20]["descendant_id"] == got[1, 20]["tree_node_id"] and got[2, 20]["descendant_id"] == -1 and got[1, 0]["event_mask"] == 4
+
+
+def test_simulation_input_and_redshift():
+    own = config.parse_parameters("# a note\nZ_IN 200.0\nN_STEPS 300\nALPHA 1.0 extra\nRL 256\n")
+    assert own == {"Z_IN": "200.0", "N_STEPS": "300", "RL": "256"}
