@@ -139,8 +139,8 @@ def _same(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns kept."""
-    bad = match(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """The rows of docs without a word of any benchmark window, all columns kept."""
+    bad = match(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
