@@ -25,6 +25,8 @@ SLIDE = WINDOW - GRAM + 1
 _PLACE_BITS = 28
 #: Item fingerprints are broadcast up to this many rows (under 64 MB); beyond, the join is Spark's to choose.
 BROADCAST_ROWS = 200_000
+#: First words of short items are looked up in the plan up to this many; beyond, every run of their length is looked up.
+FIRST_WORDS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -52,27 +54,35 @@ def _around(place: Column, kind: int, key: Column, before: int, after: int) -> C
     )
 
 
-def _fingerprints(lengths: list[int]) -> Column:
-    """All fingerprints of a row with hash, n and kept; lengths: those of short items, matched by every run."""
+def _fingerprints(lengths: dict[int, list[int]]) -> Column:
+    """All fingerprints of a row with hash, n and kept; lengths: those of short items, matched by every run that begins
+    as one of them."""
     place = lambda v: v.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int")
     kept = F.transform(F.filter("kept", lambda v: v.isNotNull()), lambda v: _around(place(v), 0, F.shiftright(v, _PLACE_BITS), WINDOW - GRAM, WINDOW))
     parts = [kept]
-    return F.concat(*parts, *(_runs(size) for size in lengths))
+    return F.concat(*parts, *(_runs(size, first) for size, first in sorted(lengths.items())))
 
 
-def _runs(size: int) -> Column:
-    """Fingerprints of all word runs of one length."""
+def _runs(size: int, first: list[int]) -> Column:
+    """Fingerprints of all word runs of one length that begin with one of the words; of all runs if no words are given."""
     places = F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1)))
+    if first:
+        places = F.filter(places, lambda i: F.try_element_at("hash", i).isin(first))
     made = F.transform(places, lambda i: _around(i, size, F.xxhash64(F.slice("hash", i, size), F.lit(size)), 0, size))
     return F.when(F.col("n") >= size, made).otherwise(F.slice(made, 1, 0))
 
 
-def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The kept k-grams of items of a window or more and the whole of shorter ones, once for each distinct context,
-    with the items that have it; and the lengths of the short ones, twelve at most."""
+def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, list[int]]]:
+    """The kept k-grams of items of a window or more and the whole of shorter ones, once for each distinct context, by a
+    number (print) of its own; the items of each (print, item); and the lengths of short items, twelve at most, with the
+    words that these begin with (none where they are too many to be looked up in the plan)."""
     items = materialize(_kept(benchmark.select("item_id", "text")).filter("n > 0").select("item_id", "hash", "n", "kept"), "items")
-    lengths = sorted(r["n"] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect())
-    long = items.filter(F.col("n") >= WINDOW).select("item_id", F.explode(_fingerprints([])).alias("f"))
+    lengths: dict[int, list[int]] = {r["n"]: [] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect()}
+    begins = items.filter(F.col("n") < WINDOW).select("n", F.col("hash")[0].alias("first")).distinct()
+    if begins.count() <= FIRST_WORDS:
+        for r in begins.collect():
+            lengths[r["n"]].append(r["first"])
+    long = items.filter(F.col("n") >= WINDOW).select("item_id", F.explode(_fingerprints({})).alias("f"))
     one = F.lit(1)
     short = items.filter(F.col("n") < WINDOW).select(
         "item_id",
@@ -81,9 +91,11 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
             one.alias("at"), F.lit(0).alias("lead"), F.col("hash").alias("around"),
         ).alias("f"),
     )
-    both = long.unionByName(short)
-    grouped = both.groupBy("f.kind", "f.key", "f.lead", "f.around").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return materialize(grouped.select("kind", "key", F.col("lead").alias("i_lead"), F.col("around").alias("i_around"), "items"), "item-prints"), lengths
+    both = long.unionByName(short).select("item_id", F.xxhash64("f.kind", "f.lead", "f.around").alias("print"), "f.kind", "f.key", F.col("f.lead").alias("i_lead"), F.col("f.around").alias("i_around"))
+    both = materialize(both, "item-prints")
+    prints = both.groupBy("print").agg(*(F.first(c).alias(c) for c in ("kind", "key", "i_lead", "i_around")))
+    owners = both.filter("item_id IS NOT NULL").select("print", F.col("item_id").cast("string").alias("item")).distinct()
+    return prints, owners, lengths
 
 
 def _equal_run(steps: Column, same) -> Column:
@@ -96,12 +108,13 @@ def _equal_run(steps: Column, same) -> Column:
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, n_words, n_hit, n_items, items (sorted), items_sha256,
     contaminated."""
-    prints, lengths = item_fingerprints(benchmark)
+    prints, owners, lengths = item_fingerprints(benchmark)
     if prints.count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
     rows = _kept(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")))
     rows = rows.select("doc_id", "text_hash", "n", "hash", "kept")
-    itself = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("bigint").alias("key"), F.lit(0).alias("at"), F.lit(0).alias("lead"), F.array().cast("array<bigint>").alias("around")))
+    # each row's own, of a kind that meets nothing; its key spreads it where the join shuffles
+    itself = F.array(F.struct(F.lit(-1).alias("kind"), F.col("text_hash").alias("key"), F.lit(0).alias("at"), F.lit(0).alias("lead"), F.array().cast("array<bigint>").alias("around")))
     spread = rows.select("doc_id", "text_hash", "n", F.explode(F.concat(itself, _fingerprints(lengths))).alias("f")).select("doc_id", "text_hash", "n", "f.*")
     met = materialize(spread.join(prints, ["kind", "key"], "left").filter((F.col("kind") == -1) | F.col("i_around").isNotNull()), "met")
 
@@ -113,13 +126,13 @@ def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = (
         met.filter("kind >= 0").withColumn("left", left).withColumn("right", right)
         .filter(F.col("left") + F.col("right") >= F.when(F.col("kind") == 0, WINDOW).otherwise(F.col("kind")))
-        .select("doc_id", "text_hash", F.struct((F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right")).alias("b")).alias("span"), "items")
+        .select("doc_id", "text_hash", F.struct((F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right")).alias("b")).alias("span"), "print")
     )
     key = ["doc_id", "text_hash"]
     spans = hits.select(*key, "span").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("span")).alias("spans"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n")), lambda s: s["n"])
-    listed = hits.select(*key, F.explode("items").alias("item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    listed = hits.select(*key, "print").distinct().join(owners, "print").select(*key, "item").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = spans.select(*key, covered.alias("n_hit")).join(listed, _same(spans, listed, key), "left").select(spans["doc_id"], spans["text_hash"], "n_hit", "items")
     base = met.filter("kind = -1").groupBy(*key).agg(F.first("n").cast("bigint").alias("n_words"), F.count("*").alias("times"))
     out = base.join(found, _same(base, found, key), "left").select(
