@@ -1,10 +1,12 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Every word has a log-odds of toxicity smoothed by a Dirichlet prior whose mean is that of its prefixes, so a word never
-seen takes what its beginning suggests. All maximal scoring segments of a text are found in linear time; their
-scores are set against the extreme-value law that clean texts follow, and the significant ones are aggregated and
-calibrated to a probability. Null and empty texts have no segment and get the calibrated probability of that. Extra
-columns are left alone, repeated rows are scored alike, an empty table gives an empty result.
+Every word has a log-odds of toxicity from its tokens in toxic and in other texts, under a Dirichlet prior whose mean is
+that of its longest prefix, whose own prior is the next shorter one's, down to the base rate; so a word never seen takes
+what its beginning suggests. All maximal scoring segments of a text are found in linear time; their scores are set
+against the extreme-value law that clean texts follow, and the significant ones are aggregated and calibrated to a
+probability. Null and empty texts have no segment and get the calibrated probability of that. Extra columns are left
+alone, repeated rows are learned from and scored each, an empty table gives an empty result. Segments of equal score
+each count.
 """
 
 from __future__ import annotations
@@ -109,11 +111,32 @@ def _best(segs: list) -> float:
     return max((s for s, _, _ in segs), default=0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 20000, max_features: int = 200000) -> ToxicityModel:
+def parents(h: np.ndarray) -> np.ndarray:
+    """The hash of the next shorter prefix of each word and prefix of features(); 0 for those whose prior is the base rate."""
+    out = np.zeros_like(h)
+    out[2:] = h[1:-1]
+    for row in h[1:]:  # a word's is its longest
+        out[0] = np.where(row != 0, row, out[0])
+    return out
+
+
+def posterior(h: np.ndarray, parent: np.ndarray, level: np.ndarray, n1: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
+    """Shares of toxic tokens: PRIOR tokens at the parent's share are added to each one's own; a parent's level is less."""
+    order = np.argsort(h)
+    at = order[np.minimum(np.searchsorted(h[order], parent), max(len(h) - 1, 0))] if len(h) else np.zeros(0, np.int64)
+    share = np.full(len(h), base)
+    for k in np.unique(level):
+        own = np.flatnonzero(level == k)
+        mean = np.where(parent[own] != 0, share[at[own]], base)
+        share[own] = (n1[own] + PRIOR * mean) / (n[own] + PRIOR)
+    return share
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = 20000) -> ToxicityModel:
     """Fit on labels(doc_id, toxic) and documents.
 
-    Documented bounds: about `limit` labelled rows, `max_features` words and prefixes by document frequency. Odds are
-    learned on 7 of 10 of them, the law and the calibration on the rest. Whole texts are read.
+    Documented bound: about `limit` labelled rows; all words of these count, and so bound what comes to the driver. Odds
+    are learned on 7 of 10 of them, the law and the calibration on the rest. Whole texts are read.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "toxic", limit).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(10)) < 7)
@@ -121,33 +144,27 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 20000, max_features:
     def count(batches):
         for batch in text_chunks(batches):
             h, first = features(batch.column("text"))
-            y = np.asarray(batch.column("y")).astype(np.int64)
-            doc = np.tile(np.repeat(np.arange(batch.num_rows), np.diff(first)), len(h))
-            flat = h.ravel()
-            doc, flat = doc[flat != 0], flat[flat != 0]
-            order = np.lexsort((doc, flat))
-            doc, flat = doc[order], flat[order]
-            if not len(flat):
-                continue
-            new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])))
-            doc, flat = doc[new], flat[new]
-            heads = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-            n1 = np.add.reduceat(y[doc], heads)
-            n = np.diff(np.append(heads, len(flat)))
-            yield pa.record_batch([pa.array(flat[heads].view(np.int64)), pa.array(n1), pa.array(n)], ["h", "n1", "n"])
+            toxic = np.repeat(np.asarray(batch.column("y")) > 0, np.diff(first))
+            kinds = np.repeat([len(h), *range(1, len(h))], h.shape[1])  # prefixes by length, then words
+            flat, above, toxic = h.ravel(), parents(h).ravel(), np.tile(toxic, len(h))
+            some = flat != 0
+            u, one, back = np.unique(flat[some], return_index=True, return_inverse=True)
+            n1, n = np.bincount(back, toxic[some], len(u)).astype(np.int64), np.bincount(back, minlength=len(u))
+            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(above[some][one].view(np.int64)), pa.array(kinds[some][one].astype(np.int32)), pa.array(n1), pa.array(n)], ["h", "parent", "level", "n1", "n"])
 
     got = (
-        sample.filter("fit").select("text", "y").mapInArrow(count, "h bigint, n1 bigint, n bigint")
-        .groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).filter("n >= 3")
-        .orderBy(F.desc("n"), "h").limit(max_features).toPandas()
+        sample.filter("fit").select("text", "y").mapInArrow(count, "h bigint, parent bigint, level int, n1 bigint, n bigint")
+        .groupBy("h").agg(F.max("parent").alias("parent"), F.max("level").alias("level"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+        .toArrow()
     )
-    total = sample.filter("fit").agg(F.sum("y").alias("y"), F.count("*").alias("n")).first()
-    base = ((total["y"] or 0) + 0.5) / ((total["n"] or 0) + 1)
-    h = got["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    share = (got["n1"].to_numpy(float) + PRIOR * base) / (got["n"].to_numpy(float) + PRIOR)
-    share = np.clip(share, 1e-4, 1 - 1e-4)
+    h, parent, level, n1, n = (np.asarray(got.column(c)) for c in ("h", "parent", "level", "n1", "n"))
+    del got
+    word = level == len(PREFIXES) + 1
+    base = (n1[word].sum() + 0.5) / (n[word].sum() + 1)
+    h, parent = h.astype(np.int64).view(np.uint64), parent.astype(np.int64).view(np.uint64)
+    share = np.clip(posterior(h, parent, level, n1, n, base), 1e-4, 1 - 1e-4)
     odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
+    order = np.argsort(h)
     model = ToxicityModel(h[order], odds[order].astype(np.float32))
     return _calibrate(spark, model, sample.filter("NOT fit").select("text", "y"))
 
