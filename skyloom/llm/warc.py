@@ -204,7 +204,9 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
         rows = [parse(gzip.decompress(raw)) for name, ranges in places.items() for raw in read_range(name, sorted(ranges))]
         return pa.Table.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    sought = keys.select("key").distinct().mapInArrow(seek, "block int, key string")
+    # dealt by a number of its own: these rows are few bytes, but each stands for records that its task will read
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sought = keys.select("key").distinct().mapInArrow(seek, "block int, key string").repartition(tasks, "block")
     return sought.groupBy("block").applyInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
