@@ -83,6 +83,8 @@ def tokenised(docs: DataFrame, tokenizer: str, closing: int) -> DataFrame:
             flat, cut = own.encode(batch.column("text"))
             flat = np.insert(flat, cut[1:], closing).astype("<u2")
             cut = cut + np.arange(len(cut))
+            if cut[-1] >= 1 << 30:
+                raise ValueError("a text of 2**30 tokens or more does not fit a row")
             key = hilbert_key(points(flat, cut, matrix))
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((cut * 2).astype(np.int32)), pa.py_buffer(flat)])
             yield pa.record_batch([batch.column("doc_id"), pa.array(key), pa.array(np.diff(cut)), ids], ["doc_id", "key", "n", "ids"])

@@ -3,7 +3,8 @@
 The tokenizer normalises (NFC, white space, lower case), splits by a pattern and encodes each piece by itself, so
 pieces can be cached. In texts of ASCII and accented Latin-1 letters, where NFC changes nothing and the pattern's
 classes are known in full, pieces are found and hashed as byte runs of a whole chunk at once and only pieces not seen
-before go to the tokenizer's model; all other texts go to the tokenizer whole. Pieces are known by 64-bit hashes.
+before go to the tokenizer's model; all other texts, and those that hold the literal of an added token in any case, go to
+the tokenizer whole. Pieces are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,6 +75,7 @@ class Encoder:
         before = np.concatenate(([0], np.cumsum(odd_byte)))
         odd = before[offsets[1:]] > before[offsets[:-1]]
         data = LOWER[data]
+        odd |= self._holds_added(data, offsets)
         data = data + np.where(after & (data < 0x9F), np.uint8(0x20), np.uint8(0))
         piece_hash, piece_row = self._pieces(data, offsets, odd)
         per_row = np.bincount(piece_row, self.count[piece_hash], rows).astype(np.int64) if len(piece_row) else np.zeros(rows, np.int64)
@@ -90,6 +92,17 @@ class Encoder:
             parts[i] = np.array(e.ids, np.uint16)
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
+    def _holds_added(self, data, offsets) -> np.ndarray:
+        """Which rows hold the literal of an added token."""
+        out, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+        for literal in filter(None, self.added):
+            at = raw.find(literal)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                out[row] = True
+                at = raw.find(literal, max(at + 1, int(offsets[row + 1]) - len(literal)))
+        return out
+
     def _pieces(self, data, offsets, odd) -> tuple[np.ndarray, np.ndarray]:
         """The place in the cache and the row of every piece of the rows that are not odd."""
         none = np.zeros(0, np.int64)

@@ -37,7 +37,6 @@ def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(word_tokenizer())
-    plain.encode_special_tokens = True
     rng = np.random.default_rng(5)
     signs = [*map(chr, range(0, 256)), *"'sdmtrevl ÀÉéß" * 9]
     texts = ODD + ["".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)]
