@@ -158,7 +158,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def vote(model: QualityModel, latent: np.ndarray, neighbours: int, sharpness: float, block: int = 512) -> np.ndarray:
-    """The weighted share of label 1 among the nearest labelled vectors by exact cosine; ties all fall by position."""
+    """The weighted share of label 1 among the nearest labelled vectors by exact cosine; all that tie
+    with the last of these vote as well."""
     out = np.full(len(latent), model.share)
     k = min(neighbours, len(model.labels))
     if not k:
@@ -167,9 +168,10 @@ def vote(model: QualityModel, latent: np.ndarray, neighbours: int, sharpness: fl
     latent = _unit(latent)
     for at in range(0, len(latent), block):
         cos = latent[at : at + block] @ model.points.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** sharpness + 1e-12
-        own = (w * model.labels[near]).sum(1) / w.sum(1)
+        last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+        row, near = np.nonzero(cos >= last)
+        w = np.maximum(cos[row, near], 0).astype(np.float64) ** sharpness + 1e-12
+        own = np.bincount(row, w * model.labels[near], len(cos)) / np.bincount(row, w, len(cos))
         out[at : at + block] = np.where(known[at : at + block], own, model.share)
     return np.clip(out, 0, 1)
 
