@@ -73,10 +73,9 @@ def word_tokenizer() -> str:
 
 
 def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held = remainder("doc_id", 5) == 1
-    model = ngram.train(docs.filter(~held))
-    return ngram.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("learn"))
+    model, numbered = ngram.train_numbered(docs)
+    return ngram.score_numbered(numbered, model).select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {
