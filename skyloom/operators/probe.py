@@ -88,13 +88,15 @@ def caustics(tets: DataFrame) -> DataFrame:
     return g.filter("n = 2 AND low < 0 AND high > 0").select("a", "b", "c")
 
 
-def _same_side(point: list[Column], p: list[list[Column]]) -> Column:
-    """Whether the five determinants of a point and a tetrahedron agree in sign; points on a face are outside."""
+def _same_side(point: list[Column], p: list[list[Column]], whole: Column | None = None) -> Column:
+    """Whether the five determinants of a point and a tetrahedron agree in sign; points on a face are outside. whole: a
+    number with the sign of the tetrahedron's own, where it is known."""
+
     def volume(q):
         edge = lambda s: [q[s][i] - q[0][i] for i in range(3)]
         return determinant3(edge(1), edge(2), edge(3))
 
-    whole = volume(p)
+    whole = volume(p) if whole is None else whole
     ok = F.lit(True)
     for s in range(4):
         ok = ok & (whole * volume([point if t == s else p[t] for t in range(4)]) > 0)
@@ -115,7 +117,7 @@ def probe(points: DataFrame, tets: DataFrame, side: float) -> DataFrame:
     bound = F.lit(True)
     for a in "xyz":
         bound = bound & (F.col(f"q{a}") >= least(a)) & (F.col(f"q{a}") <= most(a))
-    hit = _same_side([F.col(f"q{a}") for a in "xyz"], [[F.col(f"p{s}.{a}") for a in "xyz"] for s in range(4)])
+    hit = _same_side([F.col(f"q{a}") for a in "xyz"], [[F.col(f"p{s}.{a}") for a in "xyz"] for s in range(4)], F.col("volume"))
     found = at.join(put, ["bx", "by", "bz"]).filter(bound).filter(hit).groupBy("point_id").agg(F.count("*").alias("streams"), F.avg(F.abs("volume")).alias("rho"))
     return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("streams", F.lit(0)).alias("streams"), F.coalesce("rho", F.lit(0.0)).alias("rho"))
 
@@ -135,7 +137,7 @@ def probe_uniform(tets: DataFrame, n: int) -> DataFrame:
     i = F.col("_x") + F.col("_at") % F.col("_nx")
     j = F.col("_y") + F.expr("_at div _nx % _ny")
     k = F.col("_z") + F.expr("_at div (_nx * _ny)")
-    hit = _same_side([(c + F.lit(0.5)) / n for c in (i, j, k)], [[F.col(f"p{s}.{a}") for a in "xyz"] for s in range(4)])
+    hit = _same_side([(c + F.lit(0.5)) / n for c in (i, j, k)], [[F.col(f"p{s}.{a}") for a in "xyz"] for s in range(4)], F.col("volume"))
     found = put.filter(hit).select(((k * n + j) * n + i).alias("point_id"), F.abs("volume").alias("v"))
     found = found.groupBy("point_id").agg(F.count("*").alias("streams"), F.avg("v").alias("rho"))
     every = tets.sparkSession.range(n**3).withColumnRenamed("id", "point_id")
