@@ -3,8 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from skyloom.llm import simhash
+from skyloom.llm import neardup, simhash
 
 
 def _shingles(text):
@@ -57,3 +60,52 @@ def test_near_dedup_finds_copies_that_simhash_misses(spark):
     assert (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(other))).bit_count() > 3
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [1]
+
+
+def _print(text):
+    """SimHash over the set of five-word shingles."""
+    ones = np.unpackbits(neardup.shingle_sets(pa.array([text]))[0].view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(2 * ones.sum(0) > len(ones))
+
+
+def test_near_dedup_finds_similar_sets_whose_simhashes_lie_far_apart(spark):
+    rng, rows = random.Random(3), []
+    while len(rows) < 20:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        a, b = " ".join(words[:-2] + ["end"]), " ".join(words)
+        if len(_shingles(a) & _shingles(b)) * 5 >= 4 * len(_shingles(a) | _shingles(b)) and np.unpackbits(_print(a) ^ _print(b)).sum() > 18:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(0, 20, 2))
+
+
+def test_first_shingles_are_a_fifth_and_one_more():
+    sets = neardup.shingle_sets(pa.array([" ".join(f"{d} {i}" for i in range(n)) for d, n in enumerate([0, 1, 5, 40, 700])]))
+    known = np.sort(sets[3][::3])
+    token, out = neardup.first_shingles(sets, known, np.full(len(known), 9))
+    assert len(token) == len(out) == sum(len(s) // 5 + 1 for s in sets if len(s))
+    assert not np.isin(token, known).any()  # frequent ones come last
+
+
+def _long_lists(rng):
+    """Texts that share frequent shingles, in several groups and none."""
+    base, rows = [f"b{i}" for i in range(60)], []
+    for g in range(4):
+        kind = [w if rng.random() > 0.03 * g else f"g{g}-{i}" for i, w in enumerate(base)]
+        for _ in range(100):
+            copy = list(kind)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy[: rng.randrange(50, 61)])))
+    return rows
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    rows = _long_lists(random.Random(8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _kept(rows)
+    for limit in (neardup._DRIVER_LINKS, 0):  # components by the driver, and by joins
+        monkeypatch.setattr(neardup, "_DRIVER_LINKS", limit)
+        assert sorted(str(r["doc_id"]) for r in neardup.keep_one_per_group(docs).collect()) == want
+    met = neardup.candidates(docs, 10**4)
+    assert not met.filter("members IS NOT NULL").isEmpty()
