@@ -109,3 +109,47 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in neardup.keep_one_per_group(docs).collect()) == want
     met = neardup.candidates(docs, 10**4)
     assert not met.filter("members IS NOT NULL").isEmpty()
+
+
+def test_near_copies_are_not_paired_again_in_each_task(spark):
+    rng, rows = random.Random(4), []
+    for g in range(30):
+        words = [f"g{g}-{i}" for i in range(1000)]
+        for _ in range(2):
+            words[rng.randrange(1000)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        met = neardup.candidates(docs, 10**4).select("src", "dst").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(set(met)) == 30 and len(met) <= 30 * 2
+
+
+def test_all_similar_sets_meet_in_some_list(monkeypatch):
+    monkeypatch.setattr(neardup, "_LIST", 12)
+    rng, texts = random.Random(6), []
+    for g in range(40):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 120))]
+        for _ in range(rng.choice([2, 3, 20])):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(copy) // 50)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(300)}"
+            texts.append(" ".join(copy[rng.randrange(2) : len(copy) - rng.randrange(3)]))
+    sets = {neardup._class(s): s for s in neardup.shingle_sets(pa.array(texts))}
+    known, often = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    token, out = neardup.first_shingles(list(sets.values()), known, often)
+    task, met, long = (token >> np.uint64(32)) % np.uint64(7), set(), 0
+    dealt = neardup._dealt(out, task.astype(np.int64))
+    rows = np.concatenate([neardup._shared(neardup._listed([dealt.slice(t, 1)])) for t in range(7)])
+    rows = np.concatenate([neardup._chained(rows[rows["c"] % 5 == t]) for t in range(5)])
+    for t in range(7):
+        pairs, lists = neardup._meet(rows[(rows["list"] - 1) >> 32 == t])
+        met |= {tuple(p) for p in pairs.tolist()}
+        for x in lists:
+            met |= {(a, b) for a in x["c"].tolist() for b in x["c"].tolist() if a < b}
+        long += len(lists)
+    names = sorted(sets)
+    same = {(a, b) for a in names for b in names if a < b and 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert same <= met and len(same) > 300 and long
